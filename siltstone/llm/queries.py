@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup, mixing
+from siltstone.llm import exact_dedup, mixing, packing
 from siltstone.llm.shared import documents
 
 
@@ -18,7 +18,14 @@ def op7_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_fair_mixing": op7_fair_mixing,
+    "op9_harmonic_packing": op9_harmonic_packing,
 }
