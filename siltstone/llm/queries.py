@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup, mixing, packing
+from siltstone.llm import exact_dedup, mixing, packing, quality
 from siltstone.llm.shared import documents
 
 
@@ -18,6 +18,11 @@ def op7_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.apply_rules(quality.statistics(docs), quality.fit(docs, labels)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,5 +32,6 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_fair_mixing": op7_fair_mixing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_harmonic_packing": op9_harmonic_packing,
 }
