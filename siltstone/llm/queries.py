@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import chat, exact_dedup, minhash, mixing, packing, quality
+from siltstone.llm import chat, class_lm, exact_dedup, minhash, mixing, packing, quality
 from siltstone.llm.shared import documents
 
 
@@ -18,6 +19,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), digest_all=True)
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(documents(spark, sf_dir), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2)
+
+
 def op7_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +48,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_class_lm": op6_class_lm,
     "op7_fair_mixing": op7_fair_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_harmonic_packing": op9_harmonic_packing,
