@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, class_lm, exact_dedup, minhash, mixing, packing, quality
+from siltstone.llm import chat, class_lm, exact_dedup, langid, minhash, mixing, packing, quality
 from siltstone.llm.shared import documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), langid.held_out()
+    found = langid.identify(docs, langid.fit(docs.where(~out)))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_switches")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=2)
 
@@ -46,6 +52,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_class_lm": op6_class_lm,
