@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, class_lm, exact_dedup, langid, minhash, mixing, packing, quality
+from siltstone.llm import chat, class_lm, exact_dedup, langid, minhash, mixing, packing, pii, quality
 from siltstone.llm.shared import documents
 
 
@@ -21,6 +21,17 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=2)
 
 
+def _is(kind: str) -> Callable:
+    return lambda span: span.kind == kind
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.find_pii(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), digest_all=True)
 
@@ -54,6 +65,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
+    "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_class_lm": op6_class_lm,
     "op7_fair_mixing": op7_fair_mixing,
