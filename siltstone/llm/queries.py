@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, class_lm, exact_dedup, langid, minhash, mixing, packing, pii, quality
+from siltstone.llm import chat, class_lm, exact_dedup, langid, minhash, mixing, packing, pii, quality, substrings
 from siltstone.llm.shared import documents
 
 
@@ -36,6 +36,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), digest_all=True)
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_texts(documents(spark, sf_dir), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_class_lm": op6_class_lm,
     "op7_fair_mixing": op7_fair_mixing,
     "op8_quality_rules": op8_quality_rules,
