@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import materialise
+from siltstone.llm.shared import map_arrow, materialise
 from siltstone.llm.textscan import chunks
 
 #: Classes, passes of exchange, share of the class model, and weight of class shares in
@@ -192,7 +192,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
       training never saw keep the unigram's probability
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    encoded = materialise(rows.mapInArrow(_encode(classes), _ENCODED), "lm-encoded")
+    encoded = materialise(map_arrow(rows, _encode(classes), _ENCODED), "lm-encoded")
     words = encoded.select(F.explode(F.arrays_zip("h", "n", "seed")).alias("w")).where("w.n > 0")
     counts = materialise(words.groupBy(F.col("w.h").alias("h")).agg(F.sum("w.n").alias("n")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

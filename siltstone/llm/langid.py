@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import map_arrow
 from siltstone.llm.textscan import Chunk, chunks, mix
 
 #: Documents that the model is learned from, at most (those with the least hashes of
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     if model is None:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_switches"))
-    return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, n_switches long")
+    return map_arrow(rows, _predict(model), "doc_id long, lang_pred string, score double, n_switches long")
 
 
 def held_out(id_col: str = "doc_id", parts: int = 5) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.graph import components
-from siltstone.llm.shared import materialise
+from siltstone.llm.shared import map_arrow, materialise
 from siltstone.llm.textscan import chunks, mix
 
 #: Hash collisions in each of the two collections, and minhashes in each of them. Two
@@ -90,7 +90,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, shingles array<long>"
-    signed = materialise(rows.mapInArrow(_signatures(shingle, fan, width), schema), "minhash-sets")
+    signed = materialise(map_arrow(rows, _signatures(shingle, fan, width), schema), "minhash-sets")
     digest = ["n_shingles", "d1", "d2"]
     classes = materialise(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("rep")), "minhash-classes")
     # One row for each distinct set. A node is named by a hash of its digest, not by an

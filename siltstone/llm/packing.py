@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import materialise
+from siltstone.llm.shared import map_arrow, materialise
 
 #: Classes 1 to CLASSES. Shorter pieces, at most capacity / CLASSES ids, flow.
 CLASSES = 32
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: s
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, at long, ids binary"
-    pieces = materialise(rows.mapInArrow(_pieces(tokenizer, capacity, classes, end_id), schema), "pack-pieces")
+    pieces = materialise(map_arrow(rows, _pieces(tokenizer, capacity, classes, end_id), schema), "pack-pieces")
     filled = pieces.groupBy("class", "part").agg(F.sum(F.when(F.col("class") == 0, F.col("length")).otherwise(1)).alias("filled"))
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = filled.select("class", "part", F.coalesce(F.sum("filled").over(before), F.lit(0)).alias("ahead"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import map_arrow
 from siltstone.llm.textscan import Chunk, chunks, counts_in_groups, mix
 
 #: Labelled rows that the rules are learned from, at most (by the order of a hash).
@@ -101,7 +102,7 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """Return doc_id and the counts in COUNTS and MORE for every row. Null text has no
     words; other columns are ignored."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_statistics, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE))
+    return map_arrow(rows, _statistics, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE))
 
 
 def feature(name: str) -> Column:

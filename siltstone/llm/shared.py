@@ -44,3 +44,9 @@ def n_words(text: Column) -> Column:
     """Number of words, without building them: runs of word characters are starts
     counted by their lengths after every word has shrunk to one character."""
     return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), SPACES, "")).cast("long")
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with batches of few rows: texts are long, and a worker holds a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import materialise
+from siltstone.llm.shared import map_arrow, materialise
 from siltstone.llm.textscan import Rolling, chunks
 
 #: Bytes of a repeated passage, of the k-gram that anchors it, and of a shard.
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     many = rows.select("d", "sha").groupBy("sha").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("sha", "least")
     later = materialise(rows.select("d", "s", "sha").join(many, "sha").where("d > least").select("d", "s").distinct(), "repeats-copies")
     first = rows.where(F.length("text") >= length).select("d", "s", "text").join(later, ["d", "s"], "left_anti")
-    placed = materialise(first.mapInArrow(_anchored(length, kgram), "h long, d long, s long, p int"), "repeats-anchors").distinct()
+    placed = materialise(map_arrow(first, _anchored(length, kgram), "h long, d long, s long, p int"), "repeats-anchors").distinct()
     shared = placed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     wanted = placed.join(shared, "h").groupBy("d", "s").agg(F.collect_list(F.struct("h", "p")).alias("at"))
     texts = rows.select("d", "s", "text").join(wanted, ["d", "s"]).dropDuplicates(["d", "s"])
