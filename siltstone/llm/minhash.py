@@ -17,27 +17,32 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.graph import components
 from siltstone.llm.shared import map_arrow, materialise
-from siltstone.llm.textscan import chunks, mix
+from siltstone.llm.textscan import Chunk, chunks, mix
 
 #: Hash collisions in each of the two collections, and minhashes in each of them. Two
 #: sets at similarity 0.8 miss all tables with a chance of 0.0015, at 0.9 of 0.000004.
 FAN, WIDTH = 10, 3
 
 
+def shingle_sets(c: Chunk, shingle: int) -> list[np.ndarray]:
+    """Each text's distinct shingles, as sorted 64-bit hashes."""
+    h, sets = c.hashes(), []
+    for a, b in zip(c.first[:-1], c.first[1:], strict=True):
+        k = min(shingle, b - a)
+        rolled = np.zeros(b - a - k + 1 if k else 0, np.uint64)
+        for j in range(k):
+            rolled = rolled * np.uint64(0xC6BC279692B5C323) + h[a + j : a + j + len(rolled)]
+        sets.append(np.unique(mix(rolled)))
+    return sets
+
+
 def _signatures(shingle: int, fan: int, width: int):
     seeds = np.random.default_rng(90210).integers(1, 1 << 63, 2 * fan * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, c in chunks(batch.column(1)):
-                h = c.hashes()
-                sets = []
-                for a, b in zip(c.first[:-1], c.first[1:], strict=True):
-                    k = min(shingle, b - a)
-                    rolled = np.zeros(b - a - k + 1 if k else 0, np.uint64)
-                    for j in range(k):
-                        rolled = rolled * np.uint64(0xC6BC279692B5C323) + h[a + j : a + j + len(rolled)]
-                    sets.append(np.unique(mix(rolled)))
+                sets = shingle_sets(c, shingle)
                 sizes = np.array([len(s) for s in sets])
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 held = np.flatnonzero(sizes)
@@ -54,22 +59,33 @@ def _signatures(shingle: int, fan: int, width: int):
                     digest[held, 0], digest[held, 1] = sums, more
                 else:
                     digest = np.zeros((len(sets), 2), np.uint64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 at = np.arange(0, (len(sets) + 1) * 2 * fan, 2 * fan, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.ravel())), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))],
-                    ["doc_id", "n_shingles", "d1", "d2", "halves", "shingles"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.ravel())), batch.column(1).slice(lo, hi - lo)],
+                    ["doc_id", "n_shingles", "d1", "d2", "halves", "text"],
                 )
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def _similar(shingle: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = [[x for _, _, c in chunks(batch.column(k)) for x in shingle_sets(c, shingle)] for k in (2, 3)]
+            same = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*both, strict=True)]
+            held = pa.array([100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(same, *both, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(held)
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets, made again from the whole texts, are similar enough."""
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), _similar(shingle, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, fan: int = FAN, width: int = WIDTH) -> DataFrame:
@@ -81,7 +97,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     * null and empty texts have no shingles and are linked with nothing
     * a text of fewer words than ``shingle`` is one shingle
     * rows with equal sets are one document for the search, however many they are;
-      repeated ids are linked through it, null ids get component_id null and are kept
+      a repeated id is one node for each of its sets; null ids get component_id null and
+      are kept, and link nothing that has an id by themselves
     * an empty table gives an empty result; other columns are ignored
 
     Each table's members are first checked against its least member, and components are
@@ -89,26 +106,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     checked, so a large group of copies costs one check for each of its members.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, shingles array<long>"
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, text string"
     signed = materialise(map_arrow(rows, _signatures(shingle, fan, width), schema), "minhash-sets")
-    digest = ["n_shingles", "d1", "d2"]
-    classes = materialise(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("rep")), "minhash-classes")
-    # One row for each distinct set. A node is named by a hash of its digest, not by an
-    # id, so that repeated ids with different texts stay apart.
-    first = signed.where("n_shingles > 0").select("doc_id", *digest, "halves", "shingles").join(classes, (F.col("doc_id") == F.col("rep")) & (signed.n_shingles == classes.n_shingles) & (signed.d1 == classes.d1) & (signed.d2 == classes.d2))
-    node = F.xxhash64(signed.d1, signed.d2, signed.n_shingles)
-    sets = first.select(node.alias("doc_id"), signed.n_shingles.alias("n"), "halves", "shingles").dropDuplicates(["doc_id"])
-    sets = materialise(sets, "minhash-nodes")
-    # Tables whose key occurs once are dropped before ids meet.
+    # A node is a distinct set, named by a hash of its digest, not by an id, so that
+    # repeated ids with different texts stay apart. Sets are not stored: texts take less.
+    signed = signed.withColumn("node", F.xxhash64("d1", "d2", "n_shingles"))
+    classes = materialise(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")), "minhash-nodes")
+    # Tables whose key occurs once are dropped before nodes meet.
     left, right = F.slice("halves", 1, fan), F.slice("halves", fan + 1, fan)
     pairs = F.flatten(F.transform(left, lambda x, i: F.transform(right, lambda y, j: F.xxhash64(x, y, i, j))))
-    tabled = sets.select("doc_id", "n", F.explode(pairs).alias("key"))
+    sets = classes.select(F.col("node").alias("doc_id"), "n")
+    tabled = classes.select(F.col("node").alias("doc_id"), "n", F.explode(pairs).alias("key"))
     shared = tabled.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
     meets = materialise(tabled.join(shared, "key").select("key", "doc_id", "n", "least"), "minhash-tables")
+    texts = signed.select("node", "text").join(meets.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
+    texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
     sized = sets.select(F.col("doc_id").alias("least"), F.col("n").alias("n2"))
     fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     stars = meets.where("doc_id <> least").select(F.col("doc_id").alias("b"), "n", "least").distinct().join(sized, "least").where(fits).select(F.col("least").alias("a"), "b")
-    links = materialise(_verified(stars, sets, percent), "minhash-links")
+    links = materialise(_verified(stars, texts, shingle, percent), "minhash-links")
     groups = components(links)
     # Tables that still hold several components: pairs across them.
     held = meets.join(groups, meets.doc_id == groups.id, "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
@@ -117,13 +133,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     o1 = open_.select("key", F.col("doc_id").alias("a"), "n", F.col("root").alias("ra"))
     o2 = open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("root").alias("rb"))
     across = o1.join(o2, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
-    more = materialise(_verified(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "minhash-links")
+    more = materialise(_verified(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), texts, shingle, percent), "minhash-links")
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     # Node -> least id of its component, for each distinct set; then every row.
-    named = classes.select(*digest, "rep", F.xxhash64("d1", "d2", "n_shingles").alias("id")).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = classes.where("rep is not null").select("rep", F.col("node").alias("id")).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    placed = materialise(named.join(least, "root").select(*digest, "component"), "minhash-placed")
-    out = signed.select("doc_id", *digest).join(placed, digest, "left")
+    placed = materialise(named.join(least, "root").select(F.col("id").alias("node"), "component"), "minhash-placed")
+    out = signed.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
     comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept"))
