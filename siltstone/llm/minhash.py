@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.graph import components
@@ -88,6 +88,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), _similar(shingle, percent), "a long, b long")
 
 
+def _fits(percent: int) -> Column:
+    """Whether sizes n and n2 allow the similarity."""
+    return 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+
+
+def _to_pivots(tables: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each table's pivot, the member with the most company, and others."""
+    top = F.max(F.struct("weight", "node", "n")).alias("p")
+    pivots = tables.groupBy("key").agg(top).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("n2"))
+    met = tables.join(pivots, "key").where((F.col("node") != F.col("pivot")) & _fits(percent))
+    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _listed(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, c in chunks(batch.column(2)):
+                sets = shingle_sets(c, shingle)
+                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "root", "s"])
+
+    return run
+
+
+def _by_rare_shingles(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that may be similar enough: all
+    such pairs, by prefixes of the sets in the order of rarity.
+
+    Sets at the similarity share a shingle in the rarest fifth or so of the larger and
+    the rarest tenth of the smaller, and what follows it must suffice for the overlap.
+    So texts that share a common passage only, however many they are, don't meet.
+    """
+    sets = map_arrow(open_.join(texts, "node").select("node", "root", "text"), _listed(shingle), "node long, root long, s array<long>")
+    each = materialise(sets.select("node", "root", F.size("s").cast("long").alias("n"), F.explode("s").alias("s")), "minhash-shingles")
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # Shingles of one set only are its rarest: they count in the places of the others.
+    ordered = each.join(often, "s").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("f"))
+    placed = ordered.select("node", "root", "n", (F.col("n") - F.size("f")).alias("alone"), F.posexplode("f").alias("i", "f")).select("node", "root", "n", F.col("f.s").alias("s"), (F.col("alone") + F.col("i")).alias("i"))
+    larger = placed.where(f"100 * (n - i) >= {percent} * n").select("s", F.col("node").alias("a"), F.col("root").alias("ra"), "n", "i")
+    smaller = placed.where(f"{100 + percent} * (n - i) >= {2 * percent} * n").select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("n2"), F.col("i").alias("j"))
+    enough = f"ra <> rb and (n2 < n or n2 = n and b < a) and {100 + percent} * least(n - i, n2 - j) >= {percent} * (n + n2)"
+    return larger.join(smaller, "s").where(enough).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, fan: int = FAN, width: int = WIDTH) -> DataFrame:
     """Return per input row: doc_id, n_shingles, component_id, kept.
 
@@ -101,9 +145,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
       are kept, and link nothing that has an id by themselves
     * an empty table gives an empty result; other columns are ignored
 
-    Each table's members are first checked against its least member, and components are
-    formed. Only tables that still hold several components have pairs across these
-    checked, so a large group of copies costs one check for each of its members.
+    Each table's members are checked against one of them, and components are formed, so
+    a large group of copies costs a check or two for each of its members. The members of
+    tables that still hold several components are searched by their rarest shingles.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, text string"
@@ -115,27 +159,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Tables whose key occurs once are dropped before nodes meet.
     left, right = F.slice("halves", 1, fan), F.slice("halves", fan + 1, fan)
     pairs = F.flatten(F.transform(left, lambda x, i: F.transform(right, lambda y, j: F.xxhash64(x, y, i, j))))
-    sets = classes.select(F.col("node").alias("doc_id"), "n")
     tabled = classes.select(F.col("node").alias("doc_id"), "n", F.explode(pairs).alias("key"))
-    shared = tabled.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    meets = materialise(tabled.join(shared, "key").select("key", "doc_id", "n", "least"), "minhash-tables")
-    texts = signed.select("node", "text").join(meets.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
+    shared = tabled.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    meets = materialise(tabled.join(shared, "key").select("key", F.col("doc_id").alias("node"), "n", "members"), "minhash-tables")
+    texts = signed.select("node", "text").join(meets.select("node").distinct(), "node", "left_semi")
     texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
-    sized = sets.select(F.col("doc_id").alias("least"), F.col("n").alias("n2"))
-    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    stars = meets.where("doc_id <> least").select(F.col("doc_id").alias("b"), "n", "least").distinct().join(sized, "least").where(fits).select(F.col("least").alias("a"), "b")
-    links = materialise(_verified(stars, texts, shingle, percent), "minhash-links")
-    groups = components(links)
-    # Tables that still hold several components: pairs across them.
-    held = meets.join(groups, meets.doc_id == groups.id, "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    # The pivots are the nodes that meet the most others: a text that a group of near
+    # copies was made from is nearer to each of them than they are to each other.
+    weights = meets.groupBy("node").agg(F.sum("members").alias("weight"))
+    stars = _to_pivots(meets.select("key", "node", "n").join(weights, "node"), percent)
+    groups = components(materialise(_verified(stars, texts, shingle, percent), "minhash-links"))
+    # Tables that still hold several components: pairs across these.
+    held = meets.select("key", "node").join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = held.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    open_ = materialise(held.join(mixed, "key", "left_semi"), "minhash-open")
-    o1 = open_.select("key", F.col("doc_id").alias("a"), "n", F.col("root").alias("ra"))
-    o2 = open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("root").alias("rb"))
-    across = o1.join(o2, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
-    more = materialise(_verified(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), texts, shingle, percent), "minhash-links")
+    open_ = materialise(held.join(mixed, "key", "left_semi").select("node", "root").distinct(), "minhash-open")
+    more = materialise(_verified(materialise(_by_rare_shingles(open_, texts, shingle, percent), "minhash-pairs"), texts, shingle, percent), "minhash-links")
     if not more.isEmpty():
-        groups = components(links.unionByName(more))
+        ra, rb = open_.select(F.col("node").alias("a"), F.col("root").alias("ra")), open_.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        joined = components(more.join(ra, "a").join(rb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        moved = groups.join(joined.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+        groups = materialise(moved.unionByName(joined.join(groups.select("id"), "id", "left_anti")), "minhash-groups")
     # Node -> least id of its component, for each distinct set; then every row.
     named = classes.where("rep is not null").select("rep", F.col("node").alias("id")).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
