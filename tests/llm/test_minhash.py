@@ -51,3 +51,23 @@ def test_nulls_repeats_and_empty(spark):
     assert [x[2] for x in got] == [2, 2, 2, 2]
     assert minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).where("doc_id is null and component_id is null and kept").count() == 1
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rare_shingles_find_all_pairs_and_not_those_of_a_passage(spark):
+    r = random.Random(8)
+    own = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    passage = own(60)
+    # Each is a passage and about a fourth of its own words: similar, but never enough.
+    shared = [passage + own(20) for _ in range(30)]
+    copies, base = [], own(120)
+    for _ in range(25):
+        copies.append([own(1)[0] if r.random() < 0.04 else w for w in base])
+    texts = [" ".join(t) for t in shared + copies]
+    for k in (2, 5):
+        table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+        open_ = table.selectExpr("node", "node as root")
+        got = {tuple(sorted(p)) for p in minhash._by_rare_shingles(open_, table, k, 80).collect()}
+        sets = [shingles(t, k) for t in texts]
+        near = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+        assert near and near <= got
+        assert not [p for p in got if p[0] < len(shared)]
