@@ -17,30 +17,41 @@ from siltstone.llm.shared import documents, materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a key of their own for each row, ``row``: ids can be null or
+    repeated. It is written, so that it stays the same however often it is read."""
+    return materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), f"pipeline-{name}-rows")
+
+
+def kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of a keyed table that a table of verdicts does not reject."""
+    return docs.join(judged.where("not kept").select("row"), "row", "left_anti").select(*COLUMNS)
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.apply_rules(quality.statistics(docs), quality.fit(docs, labels))
-    return docs.join(judged.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    labels, docs = spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed(docs, "rules")
+    return kept(docs, quality.apply_rules(quality.statistics(docs, carry=("row",)), quality.fit(docs, labels)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of equal texts stays."""
-    gone = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = keyed(docs, "exact")
+    return kept(docs, exact_dedup.exact_dedup(docs, carry=("row",)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8) stays."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = keyed(docs, "near")
+    return kept(docs, minhash.near_duplicates(docs, carry=("row",)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    epochs = mixing.fair_mix(docs).where("epochs > 0").select("doc_id", "epochs")
+    docs = keyed(docs, "mix")
+    epochs = mixing.fair_mix(docs, carry=("row",)).where("epochs > 0").select("row", "epochs")
     times = F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))
-    return docs.join(epochs, "doc_id").withColumn("epoch", times).select(*COLUMNS)
+    return docs.join(epochs, "row").withColumn("epoch", times).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

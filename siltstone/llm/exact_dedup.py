@@ -18,8 +18,9 @@ PREFIX = 128
 BITMAP_BITS = 22
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
-    """Return per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Return per input row: doc_id, keep_id, group_size, kept, text_sha256, and the
+    columns in ``carry``.
 
     Texts are equal when they agree after each run of ASCII white space has become one
     space. The row with the smallest id of each group stays.
@@ -33,9 +34,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     * text_sha256 is null for rows that the earlier levels found to be alone, unless
       digest_all asks for it everywhere
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ").alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ").alias("text"), *carry)
     keys = base.select(
-        "doc_id", "text", F.length("text").alias("n"),
+        "doc_id", "text", F.length("text").alias("n"), *carry,
     ).withColumn("prefix", F.xxhash64("n", F.substring("text", 1, PREFIX)))
     # Levels 1 and 2. Partial aggregation leaves one row for each key and task, so a
     # group with a third of all rows costs no more than any other.
@@ -48,7 +49,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # Level 3: whole texts are hashed where the bit of their key is set.
     marked = keys.join(F.broadcast(bitmap), F.shiftright(bucket, 6) == F.col("word"), "left").withColumn("survives", F.coalesce(F.expr(f"getbit(bits, cast(prefix & {mask} & 63 as int)) = 1"), F.lit(False)))
     full = F.sha2(F.col("text"), 256)
-    hashed = materialise(marked.select("doc_id", "survives", full.alias("sha") if digest_all else F.when(F.col("survives"), full).alias("sha")), "exact-dedup")
+    hashed = materialise(marked.select("doc_id", "survives", full.alias("sha") if digest_all else F.when(F.col("survives"), full).alias("sha"), *carry), "exact-dedup")
     groups = hashed.where("survives").groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("sha").alias("key"), "least", "rows")
     # Rows that are alone meet no group; a key of their own spreads them over the tasks.
     # A key with a large share of the rows is split by adaptive skew handling: one side
@@ -56,5 +57,5 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = hashed.withColumn("key", F.when(F.col("survives"), F.col("sha")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     keep = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return rows.join(groups, "key", "left").select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"),
+        "doc_id", keep.alias("keep_id"), F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"), *carry,
     )

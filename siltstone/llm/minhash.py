@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.graph import components
-from siltstone.llm.shared import map_arrow, materialise
+from siltstone.llm.shared import carried, map_arrow, materialise
 from siltstone.llm.textscan import Chunk, chunks, mix
 
 #: Hash collisions in each of the two collections, and minhashes in each of them. Two
@@ -61,8 +61,8 @@ def _signatures(shingle: int, fan: int, width: int):
                     digest = np.zeros((len(sets), 2), np.uint64)
                 at = np.arange(0, (len(sets) + 1) * 2 * fan, 2 * fan, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.ravel())), batch.column(1).slice(lo, hi - lo)],
-                    ["doc_id", "n_shingles", "d1", "d2", "halves", "text"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.ravel())), *[x.slice(lo, hi - lo) for x in batch.columns[1:]]],
+                    ["doc_id", "n_shingles", "d1", "d2", "halves", *batch.schema.names[1:]],
                 )
 
     return run
@@ -132,8 +132,9 @@ def _by_rare_shingles(open_: DataFrame, texts: DataFrame, shingle: int, percent:
     return larger.join(smaller, "s").where(enough).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, fan: int = FAN, width: int = WIDTH) -> DataFrame:
-    """Return per input row: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, fan: int = FAN, width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Return per input row: doc_id, n_shingles, component_id, kept, and the columns in
+    ``carry``.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of
     distinct ``shingle``-word shingles; component_id is the least id that links reach.
@@ -149,8 +150,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     a large group of copies costs a check or two for each of its members. The members of
     tables that still hold several components are searched by their rarest shingles.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, text string"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, text string" + carried(docs, carry)
     signed = materialise(map_arrow(rows, _signatures(shingle, fan, width), schema), "minhash-sets")
     # A node is a distinct set, named by a hash of its digest, not by an id, so that
     # repeated ids with different texts stay apart. Sets are not stored: texts take less.
@@ -183,6 +184,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = classes.where("rep is not null").select("rep", F.col("node").alias("id")).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     placed = materialise(named.join(least, "root").select(F.col("id").alias("node"), "component"), "minhash-placed")
-    out = signed.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
+    out = signed.select("doc_id", "n_shingles", "node", *carry).join(placed, "node", "left")
     comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept"), *carry)

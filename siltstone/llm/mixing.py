@@ -40,8 +40,9 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), ma
     return w.select("source", "source_size", "weight", F.when(F.col("ratio") <= F.col("level"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """Return per input row: doc_id, source, size, source_size, target, taken, epochs.
+def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Return per input row: doc_id, source, size, source_size, target, taken, epochs,
+    and the columns in ``carry``.
 
     * size is the number of words, 0 for null text; such rows take nothing
     * sources are in the order of their code points, null last, as a source of its own
@@ -52,7 +53,7 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     * an empty table gives an empty result; other columns are ignored
     """
     rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *carry)
         .withColumn("u", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))),
         "mix-rows",
     )
@@ -69,7 +70,7 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     blocks = blocks.join(targets.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_", "s").withColumnRenamed("source", "source_").withColumnRenamed("block", "block_")
     within = Window.partitionBy("source", "block").orderBy("u", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = rows.join(blocks, F.col("source").eqNullSafe(F.col("source_")) & (F.col("block") == F.col("block_"))).withColumn("cum", F.col("ahead") + F.sum("size").over(within))
-    queued = materialise(queued.select("doc_id", "source", "size", "u", "source_size", "target", "cum"), "mix-queued")
+    queued = materialise(queued.select("doc_id", "source", "size", "u", "source_size", "target", "cum", *carry), "mix-queued")
 
     def finish(epoch: Column) -> Column:
         return (F.col("cum") + epoch * F.col("source_size")).cast("double") / F.col("target")
@@ -94,4 +95,4 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
         taken_epochs = sum((at(e) for e in range(1, max_epochs)), at(0))
     epochs = F.when(F.col("size") > 0, taken_epochs).otherwise(0).cast("long")
-    return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"), *carry)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import map_arrow
+from siltstone.llm.shared import carried, map_arrow
 from siltstone.llm.textscan import Chunk, chunks, counts_in_groups, mix
 
 #: Labelled rows that the rules are learned from, at most (by the order of a hash).
@@ -95,14 +95,14 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_words": np.diff(c.first), "word_chars": c.total(c.word & ((c.raw & 0xC0) != 0x80)), "n_symbols": c.total(_SYMBOL[c.raw]), "n_dup_lines": dup, "n_repeat_words": repeat,
                 "n_upper": c.total(_UPPER[c.raw]), "n_digits": c.total(_DIGIT[c.raw]), "n_marks": c.total(_MARK[c.raw]), "n_bangs": c.total(_BANG[c.raw]), "n_lines": lines, "n_echoes": _echoes(c, h),
             }
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(np.asarray(found[k]), pa.int64()) for k in COUNTS + MORE]], ["doc_id", *COUNTS, *MORE])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(np.asarray(found[k]), pa.int64()) for k in COUNTS + MORE], *[x.slice(lo, hi - lo) for x in batch.columns[2:]]], ["doc_id", *COUNTS, *MORE, *batch.schema.names[2:]])
 
 
-def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id and the counts in COUNTS and MORE for every row. Null text has no
-    words; other columns are ignored."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, _statistics, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE))
+def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Return doc_id, the counts in COUNTS and MORE and the columns in ``carry`` for
+    every row. Null text has no words; other columns are ignored."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    return map_arrow(rows, _statistics, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE) + carried(docs, carry))
 
 
 def feature(name: str) -> Column:

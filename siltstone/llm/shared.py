@@ -46,6 +46,11 @@ def n_words(text: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), SPACES, "")).cast("long")
 
 
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> str:
+    """The end of a schema with the columns that an operator carries through."""
+    return "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with batches of few rows: texts are long, and a worker holds a batch."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
