@@ -30,11 +30,21 @@ def repeated(found: DataFrame, *, size: int = WINDOW) -> DataFrame:
     return found.join(keys, "key", "left_semi")
 
 
-def intervals(hits: DataFrame) -> DataFrame:
-    """path, start_line, end_line: unions of overlapping or touching line ranges."""
+def token_intervals(hits: DataFrame, *, size: int = WINDOW) -> DataFrame:
+    """path, start_line, end_line of the unions of overlapping or touching windows, from
+    the line of the first token to that of the last."""
+    order = Window.partitionBy("path").orderBy("start")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    new = hits.withColumn("e", F.lag("start").over(order) + size).withColumn("new", F.when(F.col("e").isNull() | (F.col("start") > F.col("e")), 1).otherwise(0))
+    return new.withColumn("island", F.sum("new").over(upto)).groupBy("path", "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("island")
+
+
+def intervals(hits: DataFrame, *, size: int = WINDOW) -> DataFrame:
+    """path, start_line, end_line: windows are merged as tokens, and then what overlaps
+    or touches as lines."""
     before = Window.partitionBy("path").orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("path").orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, 0)
-    spans = hits.groupBy("path", "start_line").agg(F.max("end_line").alias("end_line"))
+    spans = token_intervals(hits, size=size).groupBy("path", "start_line").agg(F.max("end_line").alias("end_line"))
     new = spans.withColumn("e", F.max("end_line").over(before)).withColumn("new", F.when(F.col("e").isNull() | (F.col("start_line") > F.col("e") + 1), 1).otherwise(0))
     return new.withColumn("island", F.sum("new").over(upto)).groupBy("path", "island").agg(F.min("start_line").cast("long").alias("start_line"), F.max("end_line").cast("long").alias("end_line")).drop("island")
 
