@@ -78,9 +78,15 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # Ranges of virtual time. Only the one in which the budget runs out is sorted.
     ranges = 1 << bits
     items = queued.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")).withColumn("finish", finish(F.col("epoch"))).withColumn("range", F.floor(F.col("finish") * ranges))
-    sums = items.where("finish <= 2").groupBy("range").agg(F.sum("size").alias("s"))
-    upto = sums.select("range", F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "s")
-    cut = upto.where(F.col("upto") > total).orderBy("range").select("range", F.col("upto") - F.col("s")).first()
+
+    def over(some: DataFrame):
+        """The first range that goes over the budget, and the words before it."""
+        sums = some.groupBy("range").agg(F.sum("size").alias("s"))
+        upto = sums.select("range", F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "s")
+        return upto.where(F.col("upto") > total).orderBy("range").select("range", F.col("upto") - F.col("s")).first()
+
+    # It is among the first, unless documents are long beside their source's target.
+    cut = over(items.where("finish <= 2")) or over(items)
     if cut is None:  # the budget covers every item
         taken_epochs = F.lit(max_epochs)
     else:
