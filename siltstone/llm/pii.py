@@ -6,6 +6,7 @@ only fits the trees, on the features of a bounded sample of candidates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,14 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # Generators of candidates: they would rather find too much.
 _NUMBERS = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9\x20()./-]{5,}[0-9]"
 _MAILS = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[\[(]at[\])])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++){1,6}"
+# What a run is cut into: numbers before a digit or bracket that follows a space or
+# bracket, mail addresses before each label of the domain.
+_BETWEEN = r"(?<=[\x20)])(?=\(?[0-9])|(?<=[(0-9./-])(?=\([0-9])"
+_MAIL_HEAD = r"^[A-Za-z0-9._%+-]++\x20?(?:@|[\[(]at[\])])\x20?[A-Za-z0-9-]++"
+_MAIL_LABEL = r"\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++"
+#: Neighbouring pieces of a number that are judged together, at most; the longest
+#: written forms (a country code and groups of two digits) have eight.
+PIECES = 8
 _HINTS = r"(?i)(?:phone|call|tel|fax|mobile|contact|mail|card|account)\W{0,6}\z"
 
 
@@ -86,26 +95,75 @@ def base_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 FEATURES = ["n_digits", "length", "groups", "parens", "dashes", "dots", "slashes", "spaces", "longest", "hinted", "letter_next", "mail"]
 
 
+def _pieces(run: Column, mail: Column) -> Column:
+    """A run in pieces, whole when joined: numbers are cut at spaces and brackets, mail
+    before each label after the first."""
+    head = F.regexp_extract(run, _MAIL_HEAD, 0)
+    labels = F.regexp_extract_all(F.substring(run, F.length(head) + 1, F.length(run)), F.lit(_MAIL_LABEL), F.lit(0))
+    heads = F.array(F.concat(head, F.coalesce(F.get(labels, F.lit(0)), F.lit(""))))
+    return F.when(mail == 1, F.concat(heads, F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))))).otherwise(F.split(run, _BETWEEN, -1))
+
+
 def candidates(spans: DataFrame) -> DataFrame:
-    """Add cands: array of (start, end, mail, known (overlaps a base span), features)."""
+    """Add cands: array of (start, end, kind number, known (overlaps a base span), right
+    (is a base span, or a base phone number
+    without its country code), features): runs that the generators find, and neighbouring pieces
+    of them, up to PIECES of a number and from the start of a mail address."""
     text = F.col("text")
     none = F.expr("array()").cast("array<struct<start:bigint,end:bigint>>")
-    wide = F.concat(
-        F.transform(F.when(F.col("digits"), _found(text, _NUMBERS)).otherwise(none), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(0).alias("mail"))),
-        F.transform(F.when(text.rlike(r"@|[\[(]at[\])]"), _found(text, _MAILS)).otherwise(none), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(1).alias("mail"))),
+    count = lambda s, p: F.length(F.regexp_replace(s, f"[^{p}]", ""))
+
+    def run(mail: int) -> Callable:
+        def made(s: Column) -> Column:
+            around = F.substring(text, F.greatest(s.start - 23, F.lit(1)).cast("int"), F.least(s.start, F.lit(24)).cast("int"))
+            return F.struct(s.start.alias("start"), F.lit(mail).alias("mail"), _pieces(_of(s, text), F.lit(mail)).alias("p"), around.rlike(_HINTS).alias("hinted"), F.substring(text, (s.end + 1).cast("int"), F.lit(1)).rlike("[A-Za-z]").alias("next"))
+
+        return made
+
+    runs = F.concat(
+        F.transform(F.when(F.col("digits"), _found(text, _NUMBERS)).otherwise(none), run(0)),
+        F.transform(F.when(text.rlike(r"@|[\[(]at[\])]"), _found(text, _MAILS)).otherwise(none), run(1)),
     )
-    base = F.concat(*KINDS)
+
+    def parts(r: Column) -> Column:
+        """(start, mail, s, hinted, next, whole, second) of the run and of its neighbouring pieces."""
+        n = F.size(r.p)
+        ends = F.aggregate(r.p, F.array(F.lit(0).cast("long")), lambda e, x: F.concat(e, F.array(F.element_at(e, -1) + F.length(x))))
+
+        def part(i: Column, k: Column) -> Column:
+            joined = F.array_join(F.slice(r.p, i + 1, k), "")
+            s = F.when(r.mail == 1, joined).otherwise(F.regexp_replace(joined, r"[^0-9]+\z", ""))
+            # A bracket that isn't closed within the part does not belong to it.
+            bare = (r.mail == 0) & (k < n) & s.startswith("(") & ~F.contains(s, F.lit(")"))
+            return F.struct(
+                (r.start + F.get(ends, i) + bare.cast("long")).alias("start"), r.mail.alias("mail"), F.when(bare, F.substring(s, F.lit(2), F.length(s))).otherwise(s).alias("s"),
+                ((i == 0) & r.hinted).alias("hinted"), ((i + k == n) & r.next).alias("next"), (k == n).alias("whole"), (i == 1).alias("second"),
+            )
+
+        # Only a run's first piece can have a hint before it: digits end the hint.
+        first = F.when(r.mail == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1))
+        most = F.when(r.mail == 1, n).otherwise(F.least(n, F.lit(PIECES)))
+        some = F.flatten(F.transform(first, lambda i: F.transform(F.sequence(F.lit(1), F.least(most, n - i)), lambda k: part(i, k))))
+        every = F.when(most < n, F.concat(some, F.array(part(F.lit(0), n)))).otherwise(some)
+        paired = lambda c: count(c.s, "(") == count(c.s, ")")
+        return F.filter(every, lambda c: c.whole | (c.mail == 1) | ((F.length(c.s) >= 7) & paired(c)))
 
     def judged(c: Column) -> Column:
-        s = _of(c, text)
-        count = lambda p: F.length(F.regexp_replace(s, f"[^{p}]", ""))
+        s, end = c.s, c.start + F.length(c.s)
         groups = F.split(s, "[^0-9]+")
-        around = F.substring(text, F.greatest(c.start - 23, F.lit(1)).cast("int"), F.least(c.start, F.lit(24)).cast("int"))
-        after = F.substring(text, (c.end + 1).cast("int"), F.lit(1))
-        values = [count("0-9"), F.length(s), F.size(F.filter(groups, lambda g: g != "")), count("()"), count("\\-"), count("."), count("/"), count(" "), F.array_max(F.transform(groups, F.length)), around.rlike(_HINTS), after.rlike("[A-Za-z]"), c.mail]
-        return F.struct(c.start.alias("start"), c.end.alias("end"), c.mail.alias("mail"), F.exists("base", lambda b: (b.start < c.end) & (c.start < b.end)).alias("known"), F.array(*[v.cast("double") for v in values]).alias("x"))
+        digits = _digits(s)
+        values = [F.length(digits), F.length(s), F.size(F.filter(groups, lambda g: g != "")), count(s, "()"), count(s, "\\-"), count(s, "."), count(s, "/"), count(s, " "), F.array_max(F.transform(groups, F.length)), c.hinted, c.next, c.mail]
+        card = F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))
+        # Both begin and end with a digit, but for a plus sign or bracket before it.
+        same = lambda b: (b.end == end) & ((b.start == c.start) | ((b.start == c.start + 1) & s.rlike("^[^0-9]")))
+        right = F.exists("base", lambda b: F.when(c.mail == 1, (c.start <= b.start) & (b.end <= end)).otherwise(same(b)))
+        # So is the number within a country that follows the country code of one.
+        right = right | F.exists("phone", lambda b: c.second & (b.end == end) & (c.start - b.start).between(2, 5))
+        known = F.exists("base", lambda b: (b.start < end) & (c.start < b.end))
+        return F.struct(c.start.alias("start"), end.alias("end"), F.when(c.mail == 1, 0).when(card, 2).otherwise(3).alias("k"), known.alias("known"), right.alias("right"), F.array(*[v.cast("double") for v in values]).alias("x"))
 
-    return spans.withColumn("base", base).withColumn("wide", wide).withColumn("cands", F.transform("wide", judged)).drop("wide")
+    found = spans.withColumn("base", F.concat(*KINDS)).withColumn("runs", runs).withColumn("parts", F.flatten(F.transform("runs", parts)))
+    return found.withColumn("cands", F.transform("parts", judged)).drop("runs", "parts")
 
 
 @dataclass(frozen=True)
@@ -177,13 +235,14 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 20, rate: float = 0.4, p
 
 def fit(docs: DataFrame, *, rows: int = TRAINING_DOCS, id_col: str = "doc_id", text_col: str = "text", **options) -> Boosted:
     """Fit on the candidates of at most ``rows`` documents with a digit or an @. A
-    candidate that overlaps a base span is a right one. Features do not show what the
+    candidate that is a base span (or a phone number less its code) is right, and one that overlaps a base span
+    otherwise teaches nothing. Features do not show what the
     base patterns ask for (a plus sign, a checksum), so what else looks like a right
     one is found too."""
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     few = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = candidates(base_spans(few)).select("doc_id", F.explode("cands").alias("c")).orderBy("doc_id", "c.start", "c.end", "c.mail").select("c.x", "c.known").collect()
-    return boost(np.array([r.x for r in found], float).reshape(-1, len(FEATURES)), np.array([r.known for r in found], bool), **options)
+    found = candidates(base_spans(few)).select("doc_id", F.explode("cands").alias("c")).where("c.right or not c.known").orderBy("doc_id", "c.start", "c.end", "c.k").select("c.x", "c.right").collect()
+    return boost(np.array([r.x for r in found], float).reshape(-1, len(FEATURES)), np.array([r.right for r in found], bool), **options)
 
 
 def find_pii(docs: DataFrame, model: Boosted, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +250,9 @@ def find_pii(docs: DataFrame, model: Boosted, *, id_col: str = "doc_id", text_co
     end, kind) in the order of kinds, then start).
 
     * null and empty texts have no spans; texts of any length are searched whole
-    * spans of different kinds may overlap; added ones overlap no base span
+    * base spans of different kinds may overlap; added ones overlap no base span and no
+      other added one: of those that overlap, that with the best score is taken, then
+      one with at most 15 digits, then the longest, then the first
     * repeated rows get the same results; an empty table gives an empty result; other
       columns are ignored
     """
@@ -202,8 +263,13 @@ def find_pii(docs: DataFrame, model: Boosted, *, id_col: str = "doc_id", text_co
 
     base = F.concat(*[named(k, F.col(kind)) for k, kind in enumerate(KINDS)])
     if np.isfinite(model.threshold):
-        more = F.filter("cands", lambda c: ~c.known & (model.column(c.x) >= model.threshold))
-        extra = F.transform(more, lambda c: F.struct(F.when(c.mail == 1, 0).otherwise(3).alias("k"), c.start.alias("start"), c.end.alias("end"), F.when(c.mail == 1, KINDS[0]).otherwise(KINDS[3]).alias("kind")))
+        scored = F.transform(F.filter("cands", lambda c: ~c.known), lambda c: F.struct((-model.column(c.x)).alias("score"), (F.get(c.x, F.lit(0)) > 15).alias("long"), (c.start - c.end).alias("size"), c.start.alias("start"), c.end.alias("end"), c.k.alias("k")))
+        best = F.array_sort(F.filter(scored, lambda c: c.score <= -model.threshold))
+        kind = "array<struct<k:int,start:bigint,end:bigint,kind:string>>"
+        extra = F.aggregate(
+            best, F.expr("array()").cast(kind),
+            lambda t, c: F.when(F.exists(t, lambda o: (o.start < c.end) & (c.start < o.end)), t).otherwise(F.concat(t, F.array(F.struct(c.k.alias("k"), c.start.alias("start"), c.end.alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), c.k + 1).alias("kind"))).cast(kind))),
+        )
     else:
         extra = F.slice(base, 1, 0)
     return judged.select("doc_id", "text", base.alias("base"), extra.alias("extra")).select("doc_id", "text", "base", F.sort_array(F.concat("base", "extra")).alias("spans"))
