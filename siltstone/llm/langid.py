@@ -8,12 +8,13 @@ off forward-backward marginals, so a text that switches language has several.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import map_arrow
@@ -141,9 +142,23 @@ def learn(texts: list[str], langs: list[str], *, lexicon: int = LEXICON, epochs:
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_DOCS, **options) -> Model | None:
     """Learn from at most ``rows`` documents with a text with words and a label. None if
-    there are none."""
+    there are none. Each label has up to an equal share of them, the rest goes by the
+    hash alone; so every label is learned, unless there are more labels than ``rows``."""
     known = docs.where(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(id_col).alias("d"))
-    taken = known.orderBy(F.xxhash64("d"), "d", "l", F.xxhash64("t")).limit(rows).collect()
+    first = known.orderBy(F.xxhash64("d"), "d", "l", F.xxhash64("t")).limit(rows).collect()
+    share = max(1, rows // max(1, known.select("l").distinct().count()))
+    times, rest = Counter(), []
+    for i, r in enumerate(first):
+        times[r.l] += 1
+        if times[r.l] > share:
+            rest.append(i)
+    # Labels with less than their share among the first: their own first ones.
+    short = known if len(first) == rows else known.limit(0)
+    turn = Window.partitionBy("l").orderBy(F.xxhash64("d"), "d", F.xxhash64("t"))
+    short = short.where(~F.col("l").isin([k for k in times if times[k] >= share])).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= share)
+    more = [r for r in short.orderBy("turn", F.xxhash64("d"), "l").limit(rows).collect() if r.turn > times[r.l]]
+    gone = set(rest[max(0, len(rest) - len(more)) :]) if more else set()
+    taken = ([r for i, r in enumerate(first) if i not in gone] + more)[:rows]
     return learn([r.t for r in taken], [r.l for r in taken], **options) if taken else None
 
 
