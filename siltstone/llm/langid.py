@@ -8,7 +8,6 @@ off forward-backward marginals, so a text that switches language has several.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +19,18 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import map_arrow
 from siltstone.llm.textscan import Chunk, chunks, mix
 
-#: Documents that the model is learned from, at most (those with the least hashes of
-#: their ids), and words in its lexicon, at most (the most frequent of the sample).
-TRAINING_DOCS, LEXICON = 1500, 50_000
+#: Documents that the model is learned from, at most (by turns from each label, those with
+#: the least hashes first); words of each, at most, in pieces spread over its whole length,
+#: and bytes of a piece, at most; and words in the lexicon, at most (the most frequent of
+#: the sample). So the driver holds at most 1,000 x 2 x 8 kB of text.
+TRAINING_DOCS, PIECES, PIECE_WORDS, PIECE_BYTES, LEXICON = 1000, 2, 192, 8192, 50_000
 #: Weights of n-grams; n-grams share them by a hash.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
-#: Words in a training segment, and passes over them.
-SEGMENT, EPOCHS = 256, 25
+#: Words in a training segment, passes over them, and segments in a step of a pass.
+SEGMENT, EPOCHS, STEP = 256, 25, 256
+#: Features whose weights are summed at a time.
+BLOCK = 1 << 18
 
 
 @dataclass
@@ -72,9 +75,15 @@ def _features(c: Chunk, place: np.ndarray, hashes: np.ndarray, lexicon: np.ndarr
 
 
 def _emissions(weights: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    sums = np.zeros((len(flat) + 1, weights.shape[1]))
-    np.cumsum(weights[flat], axis=0, out=sums[1:])
-    return sums[bounds[1:]] - sums[bounds[:-1]]
+    """Sums of the weights of each word's features, a block of words at a time. Every
+    word has features, so that no sum is over an empty range."""
+    out = np.zeros((len(bounds) - 1, weights.shape[1]), weights.dtype)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + BLOCK, "right")) - 1)
+        out[lo:hi] = np.add.reduceat(weights[flat[bounds[lo] : bounds[hi]]], bounds[lo:hi] - bounds[lo])
+        lo = hi
+    return out
 
 
 def marginals(scores: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +116,9 @@ def marginals(scores: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple
 
 
 def learn(texts: list[str], langs: list[str], *, lexicon: int = LEXICON, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-5, seed: int = 11) -> Model:
-    """Fit weights and transitions by the gradient of the likelihood. Whole texts are
-    joined in random order and cut in segments, so that some segments switch label."""
+    """Fit weights and transitions by the gradient of the likelihood. Texts are joined in
+    random order and cut in segments, so that some segments switch label. Marginals and
+    features are held for a step's or a block's words only."""
     labels = sorted(set(langs))
     order = np.random.default_rng(seed).permutation(len(texts))
     column = pa.array([texts[i] for i in order], pa.string())
@@ -116,9 +126,11 @@ def learn(texts: list[str], langs: list[str], *, lexicon: int = LEXICON, epochs:
     u, place, local, times = np.unique(c.hashes(), return_index=True, return_inverse=True, return_counts=True)
     names = np.sort(u[np.argsort(-times, kind="stable")[:lexicon]][:])
     flat, bounds = _features(c, place, u, names)
+    flat = flat.astype(np.int32)
     truth = np.repeat([labels.index(langs[i]) for i in order], np.diff(c.first))
+    del c, place, times
     first = np.append(np.arange(0, len(local), SEGMENT), len(local))
-    weights = np.zeros((BUCKETS + len(names) + 1, len(labels)))
+    weights = np.zeros((BUCKETS + len(names) + 1, len(labels)), np.float32)
     moves = np.zeros((len(labels), len(labels)))
     wg, mg = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
     seen = np.zeros_like(moves)
@@ -126,40 +138,66 @@ def learn(texts: list[str], langs: list[str], *, lexicon: int = LEXICON, epochs:
     inside[first[:-1]] = False
     at = np.flatnonzero(inside)
     np.add.at(seen, (truth[at - 1], truth[at]), 1)
-    owner = np.repeat(np.arange(len(u)), np.diff(bounds))
+    many = np.diff(bounds)
     for _ in range(epochs):
-        p, expected = marginals(_emissions(weights, flat, bounds)[local], moves, first)
-        p[np.arange(len(p)), truth] -= 1
-        words = np.stack([np.bincount(local, p[:, k], len(u)) for k in range(len(labels))], 1)
-        g = np.stack([np.bincount(flat, words[owner, k], len(weights)) for k in range(len(labels))], 1) / max(1, len(local)) + decay * weights
-        wg += g * g
-        weights -= rate * g / np.sqrt(wg)
+        scores = _emissions(weights, flat, bounds)
+        words, expected = np.zeros((len(u), len(labels))), np.zeros_like(moves)
+        for a in range(0, len(first) - 1, STEP):
+            own = first[a : a + STEP + 1]
+            mine = local[own[0] : own[-1]]
+            p, e = marginals(scores[mine].astype(np.float64), moves, own - own[0])
+            expected += e
+            p[np.arange(len(p)), truth[own[0] : own[-1]]] -= 1
+            for k in range(len(labels)):
+                words[:, k] += np.bincount(mine, p[:, k], len(u))
+        for k in range(len(labels)):
+            g = np.bincount(flat, np.repeat(words[:, k], many), len(weights)) / max(1, len(local)) + decay * weights[:, k]
+            wg[:, k] += g * g
+            weights[:, k] -= rate * g / np.sqrt(wg[:, k])
         d = (expected - seen) / max(1, len(local)) + decay * moves
         mg += d * d
         moves -= rate * d / np.sqrt(mg)
     return Model(labels, weights, names, moves)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_DOCS, **options) -> Model | None:
-    """Learn from at most ``rows`` documents with a text with words and a label. None if
-    there are none. Each label has up to an equal share of them, the rest goes by the
-    hash alone; so every label is learned, unless there are more labels than ``rows``."""
-    known = docs.where(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(id_col).alias("d"))
-    first = known.orderBy(F.xxhash64("d"), "d", "l", F.xxhash64("t")).limit(rows).collect()
-    share = max(1, rows // max(1, known.select("l").distinct().count()))
-    times, rest = Counter(), []
-    for i, r in enumerate(first):
-        times[r.l] += 1
-        if times[r.l] > share:
-            rest.append(i)
-    # Labels with less than their share among the first: their own first ones.
-    short = known if len(first) == rows else known.limit(0)
-    turn = Window.partitionBy("l").orderBy(F.xxhash64("d"), "d", F.xxhash64("t"))
-    short = short.where(~F.col("l").isin([k for k in times if times[k] >= share])).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= share)
-    more = [r for r in short.orderBy("turn", F.xxhash64("d"), "l").limit(rows).collect() if r.turn > times[r.l]]
-    gone = set(rest[max(0, len(rest) - len(more)) :]) if more else set()
-    taken = ([r for i, r in enumerate(first) if i not in gone] + more)[:rows]
-    return learn([r.t for r in taken], [r.l for r in taken], **options) if taken else None
+def _pieces(many: int, words: int, most: int):
+    """Up to ``many`` pieces of up to ``words`` words of each text, the first from its
+    start, the last up to its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, c in chunks(batch.column(2)):
+                out: list[list[bytes]] = []
+                for a, b in zip(c.first[:-1], c.first[1:], strict=True):
+                    spots = [a] if b - a <= words else np.unique(np.linspace(a, b - words, many if b - a >= many * words else max(1, many - 1)).astype(int))
+                    held = []
+                    for i in spots:
+                        # A piece ends before the word that would make it too long.
+                        n = int(np.searchsorted(c.end[i : min(i + words, b)], c.start[i] + most, "right")) if b > a else 0
+                        if n:
+                            held.append(c.raw[c.start[i] : c.end[i + n - 1]].tobytes())
+                    out.append(held)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(out, pa.list_(pa.binary()))], ["h", "l", "pieces"])
+
+    return run
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_DOCS, pieces: int = PIECES, words: int = PIECE_WORDS, **options) -> Model | None:
+    """Learn from pieces of at most ``rows`` documents with a letter in the text and a
+    label. None if there are none. Labels take turns, each with the document of the least
+    hash that it has left; so every label is learned, unless there are more labels than
+    ``rows``. Hashes choose the documents; texts are only read for the chosen."""
+    text = F.col(text_col).cast("string")
+    known = docs.where(text.rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.xxhash64(F.col(id_col), text).alias("h"), F.col(lang_col).cast("string").alias("l"), text.alias("t"))
+    turn = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = known.select("h", "l").withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("turn", "h", "l").limit(rows).select("h", "l").distinct()
+    found = map_arrow(known.join(F.broadcast(chosen), ["h", "l"]), _pieces(pieces, words, PIECE_BYTES), "h long, l string, pieces array<binary>")
+    taken = sorted(found.dropDuplicates(["h", "l"]).collect(), key=lambda r: (r.h, r.l))
+    said = [(p.decode("utf-8", "replace"), r.l) for r in taken for p in r.pieces]
+    return learn([t for t, _ in said], [k for _, k in said], **options) if said else None
+
+
+_RUNS = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
 
 def _predict(model: Model):
@@ -169,22 +207,29 @@ def _predict(model: Model):
                 u, place, local = np.unique(c.hashes(), return_index=True, return_inverse=True)
                 n = hi - lo
                 share, switches = np.zeros((n, len(model.labels))), np.zeros(n, np.int64)
+                runs: list[list] = [[]] * n
                 if len(u):
-                    p, _ = marginals(_emissions(model.weights, *_features(c, place, u, model.lexicon))[local], model.moves, c.first)
-                    sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+                    p, _ = marginals(_emissions(model.weights, *_features(c, place, u, model.lexicon))[local].astype(np.float64), model.moves, c.first)
                     size = np.diff(c.first)
-                    share = (sums[c.first[1:]] - sums[c.first[:-1]]) / np.maximum(size, 1)[:, None]
+                    held = np.flatnonzero(size)
+                    # Sums of each text alone, rounded: equal texts have equal scores.
+                    share[held] = np.round(np.add.reduceat(p, c.first[held]) / size[held, None], 9)
                     best = p.argmax(axis=1)
                     new = np.zeros(len(best), bool)
                     new[1:] = best[1:] != best[:-1]
                     new[c.first[:-1][c.first[:-1] < len(new)]] = False
                     counts = np.concatenate([[0], np.cumsum(new)])
                     switches = counts[c.first[1:]] - counts[c.first[:-1]]
+                    new[c.first[:-1][np.diff(c.first) > 0]] = True
+                    at = np.flatnonzero(new)
+                    said, many = np.array(model.labels, object)[best[at]], np.diff(np.append(at, len(best)))
+                    spot = np.searchsorted(at, c.first)
+                    runs = [[{"lang": x, "words": int(k)} for x, k in zip(said[a:b], many[a:b], strict=True)] for a, b in zip(spot[:-1], spot[1:], strict=True)]
                 top = share.argmax(axis=1)
                 lettered = np.array(batch.column(2).slice(lo, n).to_pylist(), bool)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(np.where(lettered, np.array(model.labels, object)[top], "und"), pa.string()), pa.array(np.where(lettered, np.clip(share[np.arange(n), top], 0, 1), 0.0)), pa.array(np.where(lettered, switches, 0))],
-                    ["doc_id", "lang_pred", "score", "n_switches"],
+                    [batch.column(0).slice(lo, n), pa.array(np.where(lettered, np.array(model.labels, object)[top], "und"), pa.string()), pa.array(np.where(lettered, np.clip(share[np.arange(n), top], 0, 1), 0.0)), pa.array(np.where(lettered, switches, 0)), pa.array([r if k else [] for r, k in zip(runs, lettered, strict=True)], _RUNS)],
+                    ["doc_id", "lang_pred", "score", "n_switches", "runs"],
                 )
 
     return run
@@ -192,7 +237,8 @@ def _predict(model: Model):
 
 def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return per input row: doc_id, lang_pred, score (mean marginal of that label over
-    the text's words), n_switches (neighbours whose most probable labels differ).
+    the text's words), n_switches (neighbours whose most probable labels differ), runs
+    (the labels of the words in order: lang and number of words of each run).
 
     * null texts, empty texts and texts without a letter are ``und`` with score 0, and
       so is every text if there was nothing to learn from
@@ -202,8 +248,8 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     if model is None:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_switches"))
-    return map_arrow(rows, _predict(model), "doc_id long, lang_pred string, score double, n_switches long")
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_switches"), F.expr("cast(array() as array<struct<lang:string,words:bigint>>)").alias("runs"))
+    return map_arrow(rows, _predict(model), "doc_id long, lang_pred string, score double, n_switches long, runs array<struct<lang:string,words:bigint>>")
 
 
 def held_out(id_col: str = "doc_id", parts: int = 5) -> Column:

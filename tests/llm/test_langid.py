@@ -37,6 +37,29 @@ def test_held_out_and_switching(spark):
     assert all(got[d].lang_pred == k and 0 <= got[d].score <= 1 for d, _, k, _ in rows[90:])
     assert [got[d].lang_pred for d in (900, 901, 902)] == ["und"] * 3
     assert got[903].lang_pred == "aa" and got[903].n_switches == 1 and 0.5 < got[903].score < 0.7
+    assert [tuple(r) for r in got[903].runs] == [("aa", 30), ("cc", 20)] and got[900].runs == []
     assert langid.identify(spark.createDataFrame([], SCHEMA), model).count() == 0
     assert langid.fit(spark.createDataFrame([], SCHEMA)) is None
     assert langid.identify(spark.createDataFrame(rows, SCHEMA), None).where("lang_pred = 'und'").count() == 120
+
+
+def test_long_tied_and_repeated(spark):
+    rows = [(i, "the sh ing " * 40 if i % 2 else "eau ou la " * 40, "aa" if i % 2 else "bb", 0) for i in range(40)]
+    rows += [(1, rows[1][1], "aa", 0)] * 30 + [(77, "x" * 50_000 + " the sh", "aa", 0), (78, "é " * 60_000, "bb", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(docs, rows=44, words=16)
+    assert model.labels == ["aa", "bb"]
+    got = [tuple(r)[:4] for r in langid.identify(docs, model).collect()]
+    assert len(got) == len(rows) and len({g for g in got if g[0] == 1}) == 1
+    assert {g[1] for g in got if g[0] == 78} == {"bb"}
+    assert langid.fit(docs.where("lang is null")) is None
+
+
+def test_pieces_reach_both_ends():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(1000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a"] * 3), pa.array([text, None, "x" * 99])], ["h", "l", "t"])
+    (out,) = langid._pieces(2, 10, 50)(iter([batch]))
+    held = out.column(2).to_pylist()
+    assert held[0][0].startswith(b"w0 w1") and held[0][1].endswith(b"w999") and held[1] == held[2] == []
