@@ -1,12 +1,14 @@
 """Repeated passages by suffix arrays over shards.
 
 A passage of ``length`` bytes has an anchor, the k-gram in it with the least hash; equal
-passages have equal anchors. Anchors that occur once are dropped. The bytes around each
-of the others go to the shard of their k-gram, where a suffix array (prefix doubling
-that re-sorts only what is still tied, after Larsson and Sadakane) and the common
-prefixes of neighbours find equal passages. A k-gram with more text than a shard holds
-is cut in blocks in document order, and each block's passages are looked up by binary
-search in the sorted passages of the blocks before it.
+passages have equal anchors. So only the surroundings of k-grams that anchor twice can
+hold repeats, and of these only one for each different surrounding must be compared.
+They go to the shard of their k-gram, where a suffix array (doubling that re-sorts only
+what is still tied, after Larsson and Sadakane) and Kasai's common prefixes find equal
+passages. A k-gram with more text than a shard holds has several shards; their sorted
+passages are merged by binary search.
+
+Texts are read again from the input for each of three scans, and moved once, at the end.
 """
 
 from __future__ import annotations
@@ -16,14 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import map_arrow, materialise
-from siltstone.llm.textscan import Rolling, chunks
+from siltstone.llm.shared import discard, map_arrow, materialise
+from siltstone.llm.textscan import Chunk, Rolling, chunks, mix
 
 #: Bytes of a repeated passage, of the k-gram that anchors it, and of a shard.
 LENGTH, KGRAM, SHARD_BYTES = 100, 32, 2 << 20
+#: Bits of the two bitmaps of k-grams that are sent to all workers: 16 MB each, whatever
+#: the size of the input. What shares a bit with a wanted k-gram passes; joins drop it.
+BITMAP_BITS = 27
+#: Bytes of text that are scanned at a time. A longer text is scanned by itself.
+SCAN_BYTES = 4 << 20
 
 
 def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -36,47 +43,115 @@ def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return out
 
 
-def anchors(h: np.ndarray, width: int) -> np.ndarray:
-    """Positions whose hash is the least of some window of ``width`` positions."""
+def anchored(c: Chunk, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all anchors of a chunk's texts, their hashes, and the texts' numbers."""
+    n = len(c.raw)
+    if n < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(c.bounds) - 1), np.diff(c.bounds))
+    at = np.arange(n - kgram + 1)
+    h = Rolling(c.raw).of(at, at + kgram).view(np.int64)
+    width = length - kgram + 1
     least = _slide(h, width, np.minimum)
-    edge = np.full(width - 1, np.iinfo(h.dtype).min)
-    return np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == h)
+    # A window over the end of a text is none: nothing equals its least hash.
+    least[owner[: n - length + 1] != owner[length - 1 :]] = np.iinfo(np.int64).min
+    edge = np.full(width - 1, np.iinfo(np.int64).min)
+    p = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == h)
+    return p, h[p], owner[p]
 
 
-def _anchored(length: int, kgram: int):
+def _counted(length: int, kgram: int):
+    """Each chunk's anchors with 1, or 2 where they occur again in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, c in chunks(batch.column(2), lower=False, limit=SCAN_BYTES):
+                h, n = np.unique(anchored(c, length, kgram)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
+
+    return run
+
+
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value of the column h, by its low bits."""
+    low = F.col("h").bitwiseAND((1 << bits) - 1)
+    words = hashes.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    found = np.zeros(1 << (bits - 6), np.int64)
+    found[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return found
+
+
+def _surroundings(bitmap, length: int, kgram: int, bits: int, blobs: bool):
+    """Of each chunk's wanted anchors (bitmap) the first with each surrounding: h, g (a
+    hash of the surrounding), d, s, start, end, and the bytes if ``blobs``. The others
+    start later than an equal one: without ``blobs`` they come as ranges to remove, under
+    a null h, those that touch merged."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = bitmap.value
         for batch in batches:
-            for lo, hi, c in chunks(batch.column(2)):
-                if len(c.raw) < length:
+            for lo, hi, c in chunks(batch.column(2), lower=False, limit=SCAN_BYTES):
+                p, h, owner = anchored(c, length, kgram)
+                ok = (wanted[(h & ((1 << bits) - 1)) >> 6] >> (h & 63)) & 1 == 1
+                p, h, owner = p[ok], h[ok], owner[ok]
+                start, end = np.maximum(p - (length - kgram), c.bounds[owner]), np.minimum(p + length, c.bounds[owner + 1])
+                g = Rolling(c.raw).of(start, end).view(np.int64)
+                d, s = batch.column(0).slice(lo, hi - lo).to_numpy(), batch.column(1).slice(lo, hi - lo).to_numpy()
+                names, doc = np.unique(np.stack([d, s], 1), axis=0, return_inverse=True)
+                doc = doc.ravel()[owner]
+                inner = start - c.bounds[owner]
+                order = np.lexsort((inner, doc, g, h))
+                new = np.ones(len(order), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+                head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+                first = order[new]
+                columns = [h[first], g[first], d[owner[first]], s[owner[first]], inner[first], (end - c.bounds[owner])[first]]
+                if blobs:
+                    raw = c.raw.tobytes()
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([raw[a:b] for a, b in zip(start[first], end[first], strict=True)], pa.binary())], ["h", "g", "d", "s", "start", "end", "blob"])
                     continue
-                at = np.arange(len(c.raw) - kgram + 1)
-                h = Rolling(c.raw).of(at, at + kgram).view(np.int64)
-                for i in range(hi - lo):
-                    a, b = c.bounds[i], c.bounds[i + 1]
-                    if b - a < length:
-                        continue
-                    own = h[a : b - kgram + 1]
-                    p = anchors(own, length - kgram + 1)
-                    n = len(p)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[p]), pa.array(np.full(n, batch.column(0)[lo + i].as_py())), pa.array(np.full(n, batch.column(1)[lo + i].as_py())), pa.array(p, pa.int32())], ["h", "d", "s", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "g", "d", "s", "start", "end"])
+                again = order[(doc[order] != doc[head]) | (inner[order] != inner[head])]
+                a, b, who = merged(doc[again], inner[again], (end - c.bounds[owner])[again])
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(names[who, 0], pa.int64()), pa.array(names[who, 1], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["h", "g", "d", "s", "start", "end"])
 
     return run
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes at least. Starts from eight
-    bytes; each round doubles the depth and re-sorts the groups that are still tied."""
-    n = len(text)
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of the ranges of each document that overlap or touch: start, end, document."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    base = doc * (1 << 40)
+    reach = np.maximum.accumulate(base + end) if len(end) else end
+    new = np.ones(len(doc), bool)
+    new[1:] = (base + start)[1:] > reach[:-1]
+    last = np.append(new[1:], True)[: len(new)]
+    return start[new], (reach - base)[last], doc[new]
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number; zeros follow the end."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
+    key = np.zeros(len(text), np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n].astype(np.uint64)
+        key = (key << np.uint64(8)) | padded[k : k + len(text)].astype(np.uint64)
+    return key
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes in their order. Starts from eight bytes; each round doubles the depth and
+    re-sorts the groups that are still tied. The order is whole (Kasai's scan needs it)."""
+    n = len(text)
+    key = _words(text)
     sa = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
+    new = np.ones(n, bool)
+    new[1:] = key[sa][1:] != key[sa][:-1]
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 8
-    while h < depth:
+    while True:
         bounds = np.append(np.flatnonzero(new), n)
         tied = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
         where = np.flatnonzero(tied)
@@ -93,101 +168,158 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return sa
 
 
-def same_prefix(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """Whether a suffix and the one before it in ``sa`` share ``length`` bytes. Only
-    pairs that agree so far are compared further, byte column by byte column."""
+def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """Kasai's scan: how many bytes each suffix shares with the one before it in ``sa``,
+    up to ``most``. A suffix shares at least one byte less than the suffix one place to
+    the left did, so no byte is compared twice. The pieces of text that begin at
+    ``starts`` are scanned side by side, eight bytes at a step."""
     n = len(text)
-    same = np.zeros(len(sa), bool)
-    left = np.flatnonzero((sa[1:] + length <= n) & (sa[:-1] + length <= n)) + 1
-    for k in range(length):
-        left = left[text[sa[left] + k] == text[sa[left - 1] + k]]
-    same[left] = True
-    return same
-
-
-def _repeats(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the passages of a shard (in order): index of the row, offset in its blob,
-    whether it also starts earlier in the shard, and its place in the joined text. Blobs
-    of one document may overlap: the same place in a document is not earlier."""
-    blobs = [r[4] for r in rows]
+    rank, words = np.empty(n, np.int64), np.append(_words(text), np.zeros(most + 8, np.uint64))
+    rank[sa] = np.arange(n)
+    shared = np.zeros(n, np.int64)
+    size = np.diff(np.append(starts, n))
+    order = np.argsort(-size, kind="stable")
+    starts, size = starts[order], size[order]
+    have = np.zeros(len(starts), np.int64)
+    for k in range(int(size[0]) if n else 0):
+        many = int(np.searchsorted(-size, -k, side="left"))
+        i = starts[:many] + k
+        r = rank[i]
+        j = sa[np.maximum(r - 1, 0)]
+        have = np.maximum(have[:many] - 1, 0)
+        stop = np.where(r > 0, np.minimum(most, n - np.maximum(i, j)), 0)
+        left = np.flatnonzero(have < stop)
+        while len(left):
+            x = words[i[left] + have[left]] ^ words[j[left] + have[left]]
+            same = np.full(len(left), 8)
+            for byte in range(8):
+                same[x >= np.uint64(1 << (8 * byte))] = 7 - byte
+            have[left] += same
+            left = left[(same == 8) & (have[left] < stop[left])]
+        have = np.minimum(have, stop)
+        shared[r] = have
+    return shared
+
+
+def _repeats(blobs: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the passages of a shard in order: number of the blob, offset in it, whether it
+    also starts earlier in the shard (a smaller doc, or the same and a smaller place), and
+    its place in the joined text. Blobs of one document may overlap: the same place in a
+    document is not earlier."""
     text = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs])
+    starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(blobs)), sizes)
-    offset = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    offset = np.arange(len(text)) - starts[owner]
     whole = offset + length <= sizes[owner]
-    sa = suffix_array(text, length)
-    group = np.cumsum(~same_prefix(text, sa, length))
+    sa = suffix_array(text)
+    group = np.cumsum(common_prefixes(text, sa, starts, length) < length)
     inside = whole[sa]
     sa, group = sa[inside], group[inside]
-    doc = np.unique([(r[1], r[2]) for r in rows], axis=0, return_inverse=True)[1].ravel()
-    doc = doc[owner[sa]]
-    start = np.array([r[3] for r in rows])[owner[sa]] + offset[sa]
-    order = np.lexsort((start, doc, group))
-    sa, group, doc, start = sa[order], group[order], doc[order], start[order]
-    new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
-    again = (doc != doc[first]) | (start != start[first])
+    who, place = doc[owner[sa]], start[owner[sa]] + offset[sa]
+    order = np.lexsort((place, who, group))
+    sa, group, who, place = sa[order], group[order], who[order], place[order]
+    new = np.ones(len(group), bool)
+    new[1:] = group[1:] != group[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0)) if len(group) else np.zeros(0, np.int64)
+    again = (who != who[first]) | (place != place[first])
     back = np.argsort(sa, kind="stable")
     at = sa[back]
     return owner[at], offset[at], again[back], at
 
 
-def _passages(text: bytes, at: np.ndarray, length: int) -> np.ndarray:
-    held = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)[at]
-    return np.ascontiguousarray(held).view(f"V{length}").ravel()
-
-
-def _ranges(length: int, limit: int):
-    """Rows (h, d, s, start, blob) in the order of h, d, s, start -> ranges to remove."""
-    names = ["d", "s", "start", "end"]
+def _sharded(length: int, limit: int):
+    """Rows (h, g, d, s, start, end, blob, salt, salts) in the order of h, salt -> ranges
+    to remove (d, s, start, end), and for k-grams with several shards the passages that
+    are first in theirs: h, part, and packed, in the order of their keys, key, d, s, start."""
 
-    def emit(rows: list[tuple], owner: np.ndarray, offset: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
-        d, s, start = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+    def done(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        d, s, start = (np.array([r[k] for r in rows], np.int64) for k in ("d", "s", "start"))
+        names, doc = np.unique(np.stack([d, s], 1), axis=0, return_inverse=True)
+        doc = doc.ravel()
+        owner, offset, hit, at = _repeats([r["blob"] for r in rows], doc, start, length)
         o, f = owner[hit], offset[hit]
-        # Passages next to each other in one blob become one range.
-        first = np.ones(len(o), bool)
-        first[1:] = (o[1:] != o[:-1]) | (f[1:] != f[:-1] + 1)
-        last = np.append(first[1:], True)[: len(o)]
-        a, b = o[first], f[first]
-        return pa.RecordBatch.from_arrays([pa.array(d[a]), pa.array(s[a]), pa.array(start[a] + b), pa.array(start[a] + f[last] + length)], names)
+        a, b, who = merged(doc[o], start[o] + f, start[o] + f + length)
+        yield _rows(d=names[who, 0], s=names[who, 1], start=a, end=b)
+        parts = rows[0]["salts"]
+        if parts <= 1:
+            return
+        text = np.frombuffer(b"".join(r["blob"] for r in rows), np.uint8)
+        one = Rolling(text).of(at[~hit], at[~hit] + length)
+        two = Rolling(np.uint8(255) - text).of(at[~hit], at[~hit] + length)
+        o, f = owner[~hit], offset[~hit]
+        part = (mix(one.copy()) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((two, one, part))
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        for k in range(parts):
+            x = order[cuts[k] : cuts[k + 1]]
+            if len(x):
+                packed = [np.stack([one[x], two[x]], 1).tobytes(), d[o[x]].tobytes(), s[o[x]].tobytes(), (start[o[x]] + f[x]).tobytes()]
+                yield _rows(h=[rows[0]["h"]], part=[k], keys=[packed[0]], ds=[packed[1]], ss=[packed[2]], starts=[packed[3]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, seen, seen_h = 0, [], None
-
-        def done(rows: list[tuple], hot: bool) -> pa.RecordBatch:
-            nonlocal seen, seen_h
-            owner, offset, hit, at = _repeats(rows, length)
-            if seen_h is not None and seen_h != rows[0][0]:
-                seen, seen_h = [], None
-            if hot or seen:
-                words = np.array([bytes(x) for x in _passages(b"".join(r[4] for r in rows), at, length)], object)
-                mine = np.array([r[0] for r in rows])[owner] == (seen_h if seen_h is not None else rows[-1][0])
-                for block in seen:
-                    spot = np.searchsorted(block, words[mine])
-                    ok = block[np.minimum(spot, len(block) - 1)] == words[mine]
-                    hit[np.flatnonzero(mine)[ok]] = True
-                if hot:
-                    if seen_h != rows[-1][0]:
-                        seen, seen_h = [], rows[-1][0]
-                    held = words[(np.array([r[0] for r in rows])[owner] == seen_h) & ~hit]
-                    if len(held):
-                        seen.append(np.unique(held))
-            return emit(rows, owner, offset, hit)
-
+        rows: list[dict] = []
+        size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= limit and rows:
-                    if row[0] != rows[-1][0]:
-                        yield done(rows, False)
-                        rows, size = [], 0
-                    elif size >= 2 * limit and row[1:3] != rows[-1][1:3]:  # a k-gram with more than a shard: by blocks of documents
-                        yield done(rows, True)
-                        rows, size = [], 0
+            for row in batch.to_pylist():
+                # A k-gram with several shards never shares one.
+                if rows and (row["h"], row["salt"]) != (rows[-1]["h"], rows[-1]["salt"]) and (size >= limit or row["salts"] > 1 or rows[-1]["salts"] > 1):
+                    yield from done(rows)
+                    rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row["blob"])
         if rows:
-            yield done(rows, False)
+            yield from done(rows)
+
+    return run
+
+
+_SHARDED = pa.schema([("h", pa.int64()), ("part", pa.int64()), ("d", pa.int64()), ("s", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("keys", pa.binary()), ("ds", pa.binary()), ("ss", pa.binary()), ("starts", pa.binary())])
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SHARDED], schema=_SHARDED)
+
+
+def _merged_runs(length: int):
+    """Runs of passages in the order of h, part: each run's passages are looked up by
+    binary search in what the runs before hold. Of equal ones all but the first go."""
+    kind = np.dtype([("one", np.uint64), ("two", np.uint64)])
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        d, s, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+        names, doc = np.unique(np.stack([d, s], 1), axis=0, return_inverse=True)
+        a, b, who = merged(doc.ravel(), start, start + length)
+        return pa.RecordBatch.from_arrays([pa.array(names[who, 0]), pa.array(names[who, 1]), pa.array(a), pa.array(b)], ["d", "s", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, places, gone = None, None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                k = np.frombuffer(row["keys"], kind)
+                v = np.stack([np.frombuffer(row[x], np.int64) for x in ("ds", "ss", "starts")])
+                if now != (row["h"], row["part"]):
+                    if gone:
+                        yield out(gone)
+                    now, keys, places, gone = (row["h"], row["part"]), k, v.copy(), []
+                    continue
+                spot = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                known = keys[spot] == k
+                mine, theirs = v[:, known], places[:, spot[known]]
+                # Which of the two comes first in (d, s, start)?
+                first = np.zeros(mine.shape[1], bool)
+                tied = np.ones(mine.shape[1], bool)
+                for x, y in zip(mine, theirs, strict=True):
+                    first |= tied & (x < y)
+                    tied &= x == y
+                lost = np.where(first, theirs, mine)[:, ~tied]
+                gone.append(tuple(lost))
+                places[:, spot[known]] = np.where(first, mine, theirs)
+                where = np.searchsorted(keys, k[~known])
+                keys, places = np.insert(keys, where, k[~known]), np.insert(places, where, v[:, ~known], axis=1)
+        if gone:
+            yield out(gone)
 
     return run
 
@@ -195,14 +327,14 @@ def _ranges(length: int, limit: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
-        for doc, text, whole, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             kept, at, removed, spans = hashlib.sha256(), 0, 0, 0
-            for r in [{"start": 0, "end": len(text)}] if whole else sorted(ranges or [], key=lambda r: r["start"]):
-                if r["start"] > at or not spans:
-                    kept.update(text[at : r["start"]])
+            for start, end in sorted(zip(starts or [], ends or [], strict=True)):
+                if start > at or not spans:
+                    kept.update(text[at:start])
                     spans += 1
-                removed += max(0, r["end"] - max(at, r["start"]))
-                at = max(at, r["end"])
+                removed += max(0, end - max(at, start))
+                at = max(at, end)
             kept.update(text[at:])
             for values, x in zip(out, (doc, len(text), removed, spans, kept.hexdigest()), strict=True):
                 values.append(x)
@@ -210,7 +342,41 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kgram: int = KGRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_ranges(rows: DataFrame, *, length: int = LENGTH, kgram: int = KGRAM, shard_bytes: int = SHARD_BYTES, bits: int = BITMAP_BITS) -> DataFrame:
+    """From (d, s, text), d and s the order of documents, all ranges to remove: d, s,
+    start, end. They may overlap."""
+    sc = rows.sparkSession.sparkContext
+    scan = lambda run, schema: map_arrow(rows, run, schema)
+    # 1. k-grams that anchor twice.
+    twice = scan(_counted(length, kgram), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    bitmap = sc.broadcast(_bitmap(twice, bits))
+    # 2. Equal surroundings: all but the first of them go whole.
+    found = materialise(scan(_surroundings(bitmap, length, kgram, bits, False), "h long, g long, d long, s long, start long, end long"), "repeats-found")
+    classes = found.where("h is not null")
+    place = F.struct("d", "s", "start")
+    later = classes.withColumn("first", F.min(place).over(Window.partitionBy("h", "g"))).where(place != F.col("first"))
+    # 3. k-grams with several surroundings: these are compared in shards.
+    several = classes.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("h")
+    mixed = sc.broadcast(_bitmap(several, bits))
+    blobs = materialise(scan(_surroundings(mixed, length, kgram, bits, True), "h long, g long, d long, s long, start long, end long, blob binary"), "repeats-blobs")
+    hot = blobs.groupBy("h").agg(F.sum(F.length("blob")).alias("bytes")).where(F.col("bytes") > shard_bytes).select("h", F.ceil(F.col("bytes") / shard_bytes).cast("long").alias("salts"))
+    salted = blobs.join(hot, "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod("g", "salts"))
+    shards = salted.repartition("h", "salt").sortWithinPartitions("h", "salt")
+    schema = "h long, part long, d long, s long, start long, end long, keys binary, ds binary, ss binary, starts binary"
+    sharded = materialise(map_arrow(shards, _sharded(length, shard_bytes), schema), "repeats-sharded")
+    runs = sharded.where("keys is not null").select("h", "part", "keys", "ds", "ss", "starts").repartition("h", "part").sortWithinPartitions("h", "part")
+    across = map_arrow(runs, _merged_runs(length), "d long, s long, start long, end long")
+    names = ["d", "s", "start", "end"]
+    every = found.where("h is null").select(names).unionByName(later.select(names)).unionByName(sharded.where("keys is null").select(names)).unionByName(across)
+    # One row for each document: its ranges are no more than its bytes.
+    ranges = materialise(every.groupBy("d", "s").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "repeats-ranges")
+    discard(found, blobs, sharded)
+    bitmap.destroy()
+    mixed.destroy()
+    return ranges
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Return per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a document
@@ -223,26 +389,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), order.alias("d"), F.xxhash64(raw).alias("s"), F.sha2(raw, 256).alias("sha"), raw.alias("text"))
-    # Whole texts that an earlier document has are settled here.
-    many = rows.select("d", "sha").groupBy("sha").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("sha", "least")
-    later = materialise(rows.select("d", "s", "sha").join(many, "sha").where("d > least").select("d", "s").distinct(), "repeats-copies")
-    first = rows.where(F.length("text") >= length).select("d", "s", "text").join(later, ["d", "s"], "left_anti")
-    placed = materialise(map_arrow(first, _anchored(length, kgram), "h long, d long, s long, p int"), "repeats-anchors").distinct()
-    shared = placed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    wanted = placed.join(shared, "h").groupBy("d", "s").agg(F.collect_list(F.struct("h", "p")).alias("at"))
-    texts = rows.select("d", "s", "text").join(wanted, ["d", "s"]).dropDuplicates(["d", "s"])
-    start = F.greatest(F.col("a.p") - (length - kgram), F.lit(0))
-    around = texts.select("d", "s", "text", F.explode("at").alias("a")).select("d", "s", F.col("a.h").alias("h"), start.cast("long").alias("start"), F.substring("text", start + 1, F.least(F.length("text"), F.col("a.p") + length) - start).alias("blob"))
-    blobs = materialise(around.withColumn("g", F.xxhash64("blob")).withColumn("n", F.length("blob")), "repeats-blobs")
-    # Equal surroundings are one class: all but the first of them go whole.
-    least = F.min(F.struct("d", "s", "start")).alias("f")
-    classes = blobs.groupBy("h", "g", "n").agg(least, F.count(F.lit(1)).alias("rows"))
-    heads = blobs.select("h", "g", "n", "d", "s", "start").join(classes.where("rows > 1").select("h", "g", "n", "f"), ["h", "g", "n"]).where(F.struct("d", "s", "start") != F.col("f")).select("d", "s", "start", (F.col("start") + F.col("n")).alias("end"))
-    ones = blobs.groupBy("h", "g", "n").agg(least, F.first("blob").alias("blob")).select("h", F.col("f.d").alias("d"), F.col("f.s").alias("s"), F.col("f.start").alias("start"), "blob")
-    by_sa = ones.repartition("h").sortWithinPartitions("h", "d", "s", "start").mapInArrow(_ranges(length, shard_bytes), "d long, s long, start long, end long")
-    ranges = materialise(heads.unionByName(by_sa).groupBy("d", "s").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "repeats-ranges")
-    whole = later.withColumn("whole", F.lit(True))
-    marks = whole.join(ranges, ["d", "s"], "full_outer")
-    found = rows.select("doc_id", "text", "d", "s").join(marks, ["d", "s"], "left")
-    return found.select("doc_id", "text", (F.coalesce("whole", F.lit(False)) & (F.length("text") >= length)).alias("whole"), "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), order.alias("d"), F.xxhash64(raw).alias("s"), raw.alias("text"))
+    ranges = repeated_ranges(rows.select("d", "s", "text"), **options)
+    found = rows.join(ranges, ["d", "s"], "left").select("doc_id", "text", "starts", "ends")
+    return map_arrow(found, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

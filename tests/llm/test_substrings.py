@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from siltstone.llm import substrings
@@ -38,5 +39,26 @@ def test_against_brute_force(spark, shard):
     assert got == brute(rows, 100)
 
 
+def test_nulls_repeats_and_long_texts(spark):
+    r = random.Random(8)
+    said = "".join(r.choice("abcdefgh") for _ in range(700))
+    rows = [(3, said, 0), (3, said, 0), (None, said, 0), (9, "x" * 30_000 + said[:150], 0), (5, None, 0), (5, "other" + said[100:300], 0), (6, "x" * 120, 0)]
+    got = sorted(((x.doc_id is None, x.doc_id or 0, x.n_bytes, x.n_removed, x.n_spans) for x in substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == [(False, 3, 700, 0, 0)] * 2 + [(False, 5, 0, 0, 0), (False, 5, 205, 200, 1), (False, 6, 120, 119, 1), (False, 9, 30_150, 30_150, 1), (True, 0, 700, 700, 1)]
+
+
+def test_common_prefixes_against_definition():
+    r = random.Random(2)
+    pieces = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 60))) for _ in range(30)] + [b"a" * 200]
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    starts = np.cumsum([0] + [len(p) for p in pieces])[:-1]
+    sa = substrings.suffix_array(text)
+    assert sa.tolist() == sorted(range(len(text)), key=lambda i: text.tobytes()[i:])
+    got, raw = substrings.common_prefixes(text, sa, starts, 40), text.tobytes()
+    for k in range(1, len(sa)):
+        a, b = raw[sa[k - 1] :][:40], raw[sa[k] :][:40]
+        assert got[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+
+
 def test_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
