@@ -1,8 +1,9 @@
 """Repeated passages by suffix arrays over shards.
 
-A passage of ``length`` bytes has an anchor, the k-gram in it with the least hash; equal
-passages have equal anchors. So only the surroundings of k-grams that anchor twice can
-hold repeats, and of these only one for each different surrounding must be compared.
+A passage of ``length`` bytes has an anchor, the first k-gram in it with the least hash;
+equal passages have equal anchors. Passages next to each other with one anchor are a
+stretch of text. So only stretches whose anchor anchors another one can hold repeats, and
+of equal stretches only one must be compared with others.
 They go to the shard of their k-gram, where a suffix array (doubling that re-sorts only
 what is still tied, after Larsson and Sadakane) and Kasai's common prefixes find equal
 passages. A k-gram with more text than a shard holds has several shards; their sorted
@@ -30,43 +31,50 @@ LENGTH, KGRAM, SHARD_BYTES = 100, 32, 2 << 20
 #: the size of the input. What shares a bit with a wanted k-gram passes; joins drop it.
 BITMAP_BITS = 27
 #: Bytes of text that are scanned at a time. A longer text is scanned by itself.
-SCAN_BYTES = 4 << 20
+SCAN_BYTES = 2 << 20
 
 
-def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """pick over x[i : i + width] for each i, in log(width) passes."""
-    done, out = 1, x
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of x[i : i + width] for each i, in log(width) passes."""
+    done = 1
     while done < width:
         step = min(done, width - done)
-        out = pick(out[: len(out) - step], out[step:])
+        x = np.minimum(x[:-step], x[step:])
         done += step
-    return out
-
-
-def anchored(c: Chunk, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all anchors of a chunk's texts, their hashes, and the texts' numbers."""
-    n = len(c.raw)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(c.bounds) - 1), np.diff(c.bounds))
-    at = np.arange(n - kgram + 1)
-    h = Rolling(c.raw).of(at, at + kgram).view(np.int64)
-    width = length - kgram + 1
-    least = _slide(h, width, np.minimum)
-    # A window over the end of a text is none: nothing equals its least hash.
-    least[owner[: n - length + 1] != owner[length - 1 :]] = np.iinfo(np.int64).min
-    edge = np.full(width - 1, np.iinfo(np.int64).min)
-    p = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == h)
-    return p, h[p], owner[p]
+    return x
+
+
+def anchored(c: Chunk, roll: Rolling, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All stretches of a chunk's texts: the hash of the anchor, start, end, the text's
+    number. Each passage of ``length`` bytes within a text is in one stretch."""
+    if len(c.raw) < length:
+        return (np.zeros(0, np.int64),) * 4
+    h = roll.every(kgram)
+    # Half of the hash above the place: the least is the first of the least.
+    key = h & np.uint64(0xFFFFFFFF00000000)
+    key |= np.arange(len(h), dtype=np.uint64)
+    place = _least(key, length - kgram + 1).astype(np.uint32)
+    over = np.zeros(len(place), bool)  # over the end of a text
+    for b in c.bounds[1:-1]:
+        over[max(0, b - length + 1) : b] = True
+    ends = np.ones(len(place) + 1, bool)  # a stretch ends before here
+    ends[1:-1] = place[1:] != place[:-1]
+    ends[:-1] |= over
+    ends[1:-1] |= over[:-1]
+    cuts = np.flatnonzero(ends)
+    start, end = cuts[:-1], cuts[1:]
+    ok = ~over[start]
+    start, end = start[ok], end[ok] - 1 + length
+    return h[place[start]].view(np.int64), start, end, np.searchsorted(c.bounds, start, "right") - 1
 
 
 def _counted(length: int, kgram: int):
-    """Each chunk's anchors with 1, or 2 where they occur again in it."""
+    """Anchors of each chunk's stretches with 1, or 2 where several have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, c in chunks(batch.column(2), lower=False, limit=SCAN_BYTES):
-                h, n = np.unique(anchored(c, length, kgram)[1], return_counts=True)
+            for _, _, c in chunks(batch.column(2), words=False, limit=SCAN_BYTES):
+                h, n = np.unique(anchored(c, Rolling(c.raw), length, kgram)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
 
     return run
@@ -81,21 +89,21 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     return found
 
 
-def _surroundings(bitmap, length: int, kgram: int, bits: int, blobs: bool):
-    """Of each chunk's wanted anchors (bitmap) the first with each surrounding: h, g (a
-    hash of the surrounding), d, s, start, end, and the bytes if ``blobs``. The others
+def _stretches(bitmap, length: int, kgram: int, bits: int, blobs: bool):
+    """Of each chunk's stretches with a wanted anchor (bitmap), the first of equal ones: h,
+    g (a hash of the stretch), d, s, start, end, and the bytes if ``blobs``. The others
     start later than an equal one: without ``blobs`` they come as ranges to remove, under
     a null h, those that touch merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = bitmap.value
         for batch in batches:
-            for lo, hi, c in chunks(batch.column(2), lower=False, limit=SCAN_BYTES):
-                p, h, owner = anchored(c, length, kgram)
-                ok = (wanted[(h & ((1 << bits) - 1)) >> 6] >> (h & 63)) & 1 == 1
-                p, h, owner = p[ok], h[ok], owner[ok]
-                start, end = np.maximum(p - (length - kgram), c.bounds[owner]), np.minimum(p + length, c.bounds[owner + 1])
-                g = Rolling(c.raw).of(start, end).view(np.int64)
+            for lo, hi, c in chunks(batch.column(2), words=False, limit=SCAN_BYTES):
+                roll = Rolling(c.raw)
+                found = anchored(c, roll, length, kgram)
+                ok = (wanted[(found[0] & ((1 << bits) - 1)) >> 6] >> (found[0] & 63)) & 1 == 1
+                h, start, end, owner = (x[ok] for x in found)
+                g = roll.of(start, end).view(np.int64)
                 d, s = batch.column(0).slice(lo, hi - lo).to_numpy(), batch.column(1).slice(lo, hi - lo).to_numpy()
                 names, doc = np.unique(np.stack([d, s], 1), axis=0, return_inverse=True)
                 doc = doc.ravel()[owner]
@@ -145,25 +153,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     re-sorts the groups that are still tied. The order is whole (Kasai's scan needs it)."""
     n = len(text)
     key = _words(text)
-    sa = np.argsort(key, kind="stable")
-    new = np.ones(n, bool)
-    new[1:] = key[sa][1:] != key[sa][:-1]
+    sa = np.argsort(key)
+    key = key[sa]
+    new = np.ones(n + 1, bool)
+    new[1:-1] = key[1:] != key[:-1]
     rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 8
-    while True:
-        bounds = np.append(np.flatnonzero(new), n)
-        tied = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
-        where = np.flatnonzero(tied)
-        if not len(where):
-            break
+    rank[sa] = np.maximum.accumulate(np.where(new[:-1], np.arange(n), 0))
+    where, h = np.flatnonzero(~(new[:-1] & new[1:])), 8
+    while len(where):
+        # Group and rank of what follows in one number: one sort for both.
         idx = sa[where]
-        after = np.where(idx + h < n, rank[np.minimum(idx + h, n - 1)], -1)
-        order = np.lexsort((after, rank[idx]))
-        idx, after, group = idx[order], after[order], rank[idx][order]
+        pair = rank[idx] << 32
+        inside = idx + h < n
+        pair[inside] += rank[idx[inside] + h] + 1
+        order = np.argsort(pair)
+        idx, pair = idx[order], pair[order]
         sa[where] = idx
-        new[where] = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
-        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        new = np.ones(len(where) + 1, bool)
+        new[1:-1] = pair[1:] != pair[:-1]
+        rank[idx] = where[np.maximum.accumulate(np.where(new[:-1], np.arange(len(where)), 0))]
+        where = where[~(new[:-1] & new[1:])]
         h *= 2
     return sa
 
@@ -216,22 +225,20 @@ def _repeats(blobs: list[bytes], doc: np.ndarray, start: np.ndarray, length: int
     group = np.cumsum(common_prefixes(text, sa, starts, length) < length)
     inside = whole[sa]
     sa, group = sa[inside], group[inside]
-    who, place = doc[owner[sa]], start[owner[sa]] + offset[sa]
-    order = np.lexsort((place, who, group))
-    sa, group, who, place = sa[order], group[order], who[order], place[order]
-    new = np.ones(len(group), bool)
-    new[1:] = group[1:] != group[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0)) if len(group) else np.zeros(0, np.int64)
-    again = (who != who[first]) | (place != place[first])
-    back = np.argsort(sa, kind="stable")
-    at = sa[back]
-    return owner[at], offset[at], again[back], at
+    place = (doc[owner[sa]] << 40) + start[owner[sa]] + offset[sa]
+    head = np.flatnonzero(np.diff(group, prepend=-1))
+    again = np.zeros(len(text), bool)
+    if len(head):
+        again[sa] = place != np.repeat(np.minimum.reduceat(place, head), np.diff(np.append(head, len(group))))
+    at = np.flatnonzero(whole)
+    return owner[at], offset[at], again[at], at
 
 
 def _sharded(length: int, limit: int):
-    """Rows (h, g, d, s, start, end, blob, salt, salts) in the order of h, salt -> ranges
-    to remove (d, s, start, end), and for k-grams with several shards the passages that
-    are first in theirs: h, part, and packed, in the order of their keys, key, d, s, start."""
+    """Rows (h, g, d, s, start, end, blob, salt, salts) in the order of h, salt, g, d, s,
+    start -> ranges to remove (d, s, start, end), and for k-grams with several shards the
+    passages that are first in theirs: h, part, and packed, in the order of their keys, key,
+    d, s, start. Of equal stretches the first is compared; the others are known to go."""
 
     def done(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         d, s, start = (np.array([r[k] for r in rows], np.int64) for k in ("d", "s", "start"))
@@ -262,6 +269,8 @@ def _sharded(length: int, limit: int):
         size = 0
         for batch in batches:
             for row in batch.to_pylist():
+                if rows and (row["h"], row["g"]) == (rows[-1]["h"], rows[-1]["g"]):
+                    continue
                 # A k-gram with several shards never shares one.
                 if rows and (row["h"], row["salt"]) != (rows[-1]["h"], rows[-1]["salt"]) and (size >= limit or row["salts"] > 1 or rows[-1]["salts"] > 1):
                     yield from done(rows)
@@ -350,18 +359,18 @@ def repeated_ranges(rows: DataFrame, *, length: int = LENGTH, kgram: int = KGRAM
     # 1. k-grams that anchor twice.
     twice = scan(_counted(length, kgram), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     bitmap = sc.broadcast(_bitmap(twice, bits))
-    # 2. Equal surroundings: all but the first of them go whole.
-    found = materialise(scan(_surroundings(bitmap, length, kgram, bits, False), "h long, g long, d long, s long, start long, end long"), "repeats-found")
+    # 2. Equal stretches: all but the first of them go whole.
+    found = materialise(scan(_stretches(bitmap, length, kgram, bits, False), "h long, g long, d long, s long, start long, end long"), "repeats-found")
     classes = found.where("h is not null")
     place = F.struct("d", "s", "start")
     later = classes.withColumn("first", F.min(place).over(Window.partitionBy("h", "g"))).where(place != F.col("first"))
-    # 3. k-grams with several surroundings: these are compared in shards.
+    # 3. k-grams with different stretches: these are compared in shards.
     several = classes.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("h")
     mixed = sc.broadcast(_bitmap(several, bits))
-    blobs = materialise(scan(_surroundings(mixed, length, kgram, bits, True), "h long, g long, d long, s long, start long, end long, blob binary"), "repeats-blobs")
+    blobs = materialise(scan(_stretches(mixed, length, kgram, bits, True), "h long, g long, d long, s long, start long, end long, blob binary"), "repeats-blobs")
     hot = blobs.groupBy("h").agg(F.sum(F.length("blob")).alias("bytes")).where(F.col("bytes") > shard_bytes).select("h", F.ceil(F.col("bytes") / shard_bytes).cast("long").alias("salts"))
     salted = blobs.join(hot, "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod("g", "salts"))
-    shards = salted.repartition("h", "salt").sortWithinPartitions("h", "salt")
+    shards = salted.repartition("h", "salt").sortWithinPartitions("h", "salt", "g", "d", "s", "start")
     schema = "h long, part long, d long, s long, start long, end long, keys binary, ds binary, ss binary, starts binary"
     sharded = materialise(map_arrow(shards, _sharded(length, shard_bytes), schema), "repeats-sharded")
     runs = sharded.where("keys is not null").select("h", "part", "keys", "ds", "ss", "starts").repartition("h", "part").sortWithinPartitions("h", "part")

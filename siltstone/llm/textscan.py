@@ -47,6 +47,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
     return table(_BASE), table(_INVERSE)
 
+_SIZED = np.uint64(0xD6E8FEB86659FD93)
+
 
 class Rolling:
     """Hash of any range of bytes: prefix sums of code * base**position, mod 2**64,
@@ -61,7 +63,14 @@ class Rolling:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.down[start]
-        h += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h += (end - start).astype(np.uint64) * _SIZED
+        return mix(h)
+
+    def every(self, width: int) -> np.ndarray:
+        """of(i, i + width) for each i."""
+        h = self.sums[width:] - self.sums[:-width]
+        h *= self.down[: len(h)]
+        h += np.uint64(width * int(_SIZED) % (1 << 64))
         return mix(h)
 
 
@@ -72,8 +81,10 @@ class Chunk:
     first: index of each text's first word, and the number of words.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, *, lower: bool) -> None:
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, *, lower: bool, words: bool = True) -> None:
         self.raw, self.bounds = data, bounds
+        if not words:
+            return
         self.data = LOWER[data] if lower else data
         word = ~SPACE[data]
         before = np.empty(len(word), bool)
@@ -104,8 +115,9 @@ class Chunk:
         return sums[self.bounds[1:]] - sums[self.bounds[:-1]]
 
 
-def chunks(column: pa.Array, *, lower: bool = True, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Chunk]]:
-    """Cut a text column (nulls count as empty) in chunks: (from, to, chunk)."""
+def chunks(column: pa.Array, *, lower: bool = True, words: bool = True, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Chunk]]:
+    """Cut a text column (nulls count as empty) in chunks: (from, to, chunk). Without
+    ``words`` a chunk has raw and bounds only."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
@@ -113,7 +125,7 @@ def chunks(column: pa.Array, *, lower: bool = True, limit: int = CHUNK_BYTES) ->
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        yield lo, hi, Chunk(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=lower)
+        yield lo, hi, Chunk(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=lower, words=words)
         lo = hi
 
 
