@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LINE = 100
@@ -36,21 +36,36 @@ def classified(files: DataFrame, *, max_line: int = MAX_LINE) -> DataFrame:
 
     Each file's lines are folded in order within its row, so nothing is shuffled: the
     state is whether a block comment is open. It closes at a line that ends with */ and
-    opens at one that starts with /*.
+    opens at one that starts with /*. A line becomes one number first (bit 1: blank, 2:
+    starts with //, 4: starts with /*, 8: ends with */), so that it is trimmed once.
     """
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(False).alias("open"), zero.alias("blank"), zero.alias("comment"), zero.alias("code"), zero.alias("long"), zero.alias("longest"))
-
-    def step(s: Column, raw: Column) -> Column:
-        line, size = trim(raw), F.octet_length(raw).cast("long")
-        blank = line == ""
-        comment = ~blank & (s.open | line.startswith("//") | line.startswith("/*"))
-        now = F.when(blank, s.open).when(line.endswith("*/"), False).when(line.startswith("/*"), True).otherwise(s.open)
-        add = lambda k, c: (s[k] + F.when(c, 1).otherwise(0)).alias(k)
-        return F.struct(now.alias("open"), add("blank", blank), add("comment", comment), add("code", ~blank & ~comment), add("long", size > max_line), F.greatest(s.longest, size).alias("longest"))
-
     rest = [c for c in files.columns if c != "content"]
-    return files.select(*rest, split_lines(F.col("content")).alias("l")).select(*rest, F.size("l").cast("long").alias("total"), F.aggregate("l", start, step).alias("s")).select(*rest, "total", "s.blank", "s.comment", "s.code", "s.long", "s.longest")
+    long = lambda c: c.cast("long")
+    held = files.select(*rest, split_lines(F.col("content")).alias("l"))
+    held = held.select(*rest, F.transform("l", trim).alias("x"), F.transform("l", F.octet_length).alias("n"))
+    flag = lambda c, bit: F.when(c, bit).otherwise(0)
+    kind = lambda x: flag(x == "", 1) + flag(x.startswith("//"), 2) + flag(x.startswith("/*"), 4) + flag(x.endswith("*/"), 8)
+    held = held.select(*rest, F.transform("x", kind).alias("k"), "n")
+    has = lambda k, bit: k.bitwiseAND(bit) != 0
+    # State: 1 if a comment is open, and twice the comment lines so far.
+    opens = lambda s, k: F.when(has(k, 1), s % 2).when(has(k, 8), 0).when(has(k, 4), 1).otherwise(s % 2)
+    step = lambda s, k: s - s % 2 + opens(s, k) + F.when(~has(k, 1) & ((s % 2 == 1) | has(k, 6)), 2).otherwise(0)
+    blank = long(F.size(F.filter("k", lambda k: has(k, 1))))
+    comment = long(F.floor(F.aggregate("k", F.lit(0), step) / 2))
+    counted = held.select(*rest, long(F.size("k")).alias("total"), blank.alias("blank"), comment.alias("comment"), long(F.size(F.filter("n", lambda n: n > max_line))).alias("long"), long(F.coalesce(F.array_max("n"), F.lit(0))).alias("longest"))
+    return counted.select(*rest, "total", "blank", "comment", (F.col("total") - F.col("blank") - F.col("comment")).alias("code"), "long", "longest")
+
+
+def kinds(files: DataFrame) -> DataFrame:
+    """path, line_no, kind of every line, by the same rule as a window over lines: for
+    reports; ``classified`` counts without moving lines."""
+    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    x = F.col("x")
+    event = F.when(x == "", None).when(x.endswith("*/"), False).when(x.startswith("/*"), True)
+    held = lines_of(files.select("path", "content")).withColumn("x", trim(F.col("line"))).withColumn("event", event)
+    opened = held.withColumn("open", F.coalesce(F.last("event", ignorenulls=True).over(order), F.lit(False)))
+    kind = F.when(x == "", "blank").when(F.col("open") | x.startswith("//") | x.startswith("/*"), "comment").otherwise("code")
+    return opened.select("path", F.col("line_no").cast("long").alias("line_no"), kind.alias("kind"))
 
 
 def line_summary(counts: DataFrame, *keys: str) -> DataFrame:
@@ -61,14 +76,30 @@ def line_summary(counts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def size_maxima(counts: DataFrame) -> DataFrame:
+    most = lambda k: F.coalesce(F.max(k), F.lit(0)).cast("long")
+    return counts.agg(F.count(F.lit(1)).alias("files"), most("total").alias("max_lines_per_file"), most("code").alias("max_code_lines_per_file"))
+
+
 def long_lines(files: DataFrame, *, max_line: int = MAX_LINE, listed: int = LISTED) -> DataFrame:
-    """The first ``listed`` long lines by path and number: a report."""
+    """The first ``listed`` long lines by path and number, and how many more there are:
+    a report."""
     found = lines_of(files.select("path", "content")).withColumn("length", F.octet_length("line").cast("long")).where(F.col("length") > max_line)
-    return found.orderBy("path", "line_no").limit(listed).select("path", F.col("line_no").cast("long").alias("line_no"), "length", F.lit(max_line).cast("long").alias("threshold"))
+    first = found.orderBy("path", "line_no").limit(listed)
+    many = classified(files.select("path", "content"), max_line=max_line).agg(F.greatest(F.coalesce(F.sum("long"), F.lit(0)) - listed, F.lit(0)).cast("long").alias("omitted"))
+    return first.join(many, F.lit(True)).select("path", F.col("line_no").cast("long").alias("line_no"), "length", F.lit(max_line).cast("long").alias("threshold"), "omitted")
+
+
+#: Limits on files: rule, column, what the message says (fixed values).
+RULES = {
+    "size:max-lines-per-file": ("total", "File has %d lines; maximum allowed is %d"),
+    "size:max-code-lines-per-file": ("code", "File has %d code lines; maximum allowed is %d"),
+}
 
 
 def size_violations(counts: DataFrame, *, max_lines: int = MAX_FILE_LINES, max_code: int = MAX_CODE_LINES) -> DataFrame:
     """One row for each file and limit that it goes over."""
-    rule = lambda name, value, most: F.struct(F.lit(name).alias("rule_id"), F.col(value).alias("actual"), F.lit(most).cast("long").alias("threshold"))
-    each = counts.select("path", F.explode(F.array(rule("max-lines-per-file", "total", max_lines), rule("max-code-lines-per-file", "code", max_code))).alias("v"))
-    return each.where("v.actual > v.threshold").select("path", "v.rule_id", "v.actual", "v.threshold", F.lit("major").alias("severity"))
+    limits = dict(zip(RULES, (max_lines, max_code), strict=True))
+    rule = lambda r, k, says: F.struct(F.lit(r).alias("rule_id"), F.col(k).alias("actual"), F.lit(limits[r]).cast("long").alias("threshold"), F.format_string(says, k, F.lit(limits[r])).alias("message"))
+    each = counts.select("path", F.explode(F.array(*[rule(r, k, says) for r, (k, says) in RULES.items()])).alias("v"))
+    return each.where("v.actual > v.threshold").select("path", F.lit(1).cast("long").alias("line"), "v.rule_id", "v.actual", "v.threshold", "v.message", F.lit("major").alias("severity"))

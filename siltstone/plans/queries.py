@@ -39,20 +39,65 @@ def size_file_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def size_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.classified(_files(spark, sf_dir)).agg(F.count(F.lit(1)).alias("files"), F.max("total").alias("max_lines_per_file"), F.max("code").alias("max_code_lines_per_file"))
+    return lines.size_maxima(lines.classified(_files(spark, sf_dir)))
 
 
-def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.intervals(duplicates.repeated(duplicates.windows(_files(spark, sf_dir))))
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.coalesce(F.element_at("l", -1), F.lit(0)).cast("long")
+    return duplicates.held_tokens(_files(spark, sf_dir)).select("path", F.size("t").cast("long").alias("tokens"), F.when(F.size("t") > 0, last).otherwise(0).cast("long").alias("last_line"), F.md5(F.array_join("t", "\x01")).alias("digest"))
+
+
+def dup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.windows(_files(spark, sf_dir)).select("path", F.col("start").cast("long").alias("start"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "key")
+
+
+def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.repeated_keys(duplicates.windows(_files(spark, sf_dir)))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.token_intervals(duplicates.repeated(duplicates.windows(_files(spark, sf_dir))))
+
+
+def dup_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token intervals."""
+    return _spans(spark, sf_dir).select("path", *[F.col(k).cast("long").alias(k) for k in ("start", "end", "start_line", "end_line")])
+
+
+def dup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.line_intervals(_spans(spark, sf_dir))
+
+
+def dup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.files(dup_lines(spark, sf_dir))
 
 
 def dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.summary(_intervals(spark, sf_dir))
+    return duplicates.summary(dup_lines(spark, sf_dir))
+
+
+def dup_blocks_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = duplicates.blocks(_spans(spark, sf_dir), duplicates.held_tokens(_files(spark, sf_dir)))
+    return duplicates.top_blocks(found, listed=10)
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return lines.classified(turns.select(F.concat_ws("/", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("content")))
+
+
+def turn_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).agg(F.count(F.lit(1)).alias("turns"), F.coalesce(F.max("total"), F.lit(0)).cast("long").alias("max_lines"), F.coalesce(F.max("longest"), F.lit(0)).cast("long").alias("max_bytes"))
+
+
+def turn_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.size_violations(_turns(spark, sf_dir), max_lines=1, max_code=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (loc_summary, loc_by_source_lang, long_line_details, long_line_files, file_sizes, size_file_violations, size_max, dup_summary)
-} | {"dup_intervals": _intervals}
+    f.__name__: f
+    for f in (loc_summary, loc_by_source_lang, long_line_details, long_line_files, file_sizes, size_file_violations, size_max, doc_tokens, dup_windows, dup_keys, dup_intervals, dup_lines, dup_files, dup_blocks_top, dup_summary, turn_sizes, turn_violations)
+}
 
 _LINES = r"""
     f as (select 'doc/' || doc_id as path, coalesce(text, '') as content, lang, source from documents),
@@ -68,29 +113,53 @@ _LINES = r"""
                  coalesce(long, 0)::bigint as long, coalesce(longest, 0)::bigint as longest from a left join c on a.path = c.path)"""
 _SUMS = """count(*) as files, sum(total)::bigint as total_lines, sum(code)::bigint as code_lines, sum(comment)::bigint as comment_lines, sum(blank)::bigint as blank_lines,
     sum(long)::bigint as long_lines, max(longest)::bigint as max_line_length_found, count(*) filter (long > 0) as files_with_long_lines"""
-_DUP = r"""
+_TOKENS = r"""
     f as (select 'doc/' || doc_id as path, string_split_regex(coalesce(text, ''), '\r?\n') as l from documents),
     x as (select path, unnest(range(1, len(l) + 1)) as line, unnest(l) as s from f),
-    y as (select path, line, regexp_extract_all(s, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]') as ts from x),
+    y as (select path, line, regexp_extract_all(s, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\t\n\x0B\f\r ]') as ts from x),
     z as (select path, line, unnest(range(1, len(ts) + 1)) as i, unnest(ts) as t from y),
-    k as (select path, list(t order by line, i) as ts, list(line order by line, i) as ls from z group by path having count(*) >= 100),
+    k0 as (select path, list(t order by line, i) as ts, list(line order by line, i) as ls from z group by path)"""
+_DUP = _TOKENS + r""",
+    k as (select * from k0 where len(ts) >= 100),
     w0 as (select path, ts, ls, unnest(range(0, len(ts) - 99)) as start from k),
     w as (select path, start, ls[start + 1] as start_line, ls[start + 100] as end_line, md5(array_to_string(ts[start + 1 : start + 100], chr(1))) as key from w0 where ls[start + 100] - ls[start + 1] + 1 >= 6),
-    d as (select key from w group by key having count(distinct path) > 1 or max(start) - min(start) >= 100),
-    h as (select path, start_line, max(end_line) as end_line from w where key in (select key from d) group by path, start_line),
+    d as (select key, count(*) as windows from w group by key having count(distinct path) > 1 or max(start) - min(start) >= 100),
+    h0 as (select path, start, start_line, end_line from w where key in (select key from d)),
+    h1 as (select *, lag(start) over (partition by path order by start) as p from h0),
+    h2 as (select *, sum(case when p is null or start > p + 100 then 1 else 0 end) over (partition by path order by start rows unbounded preceding) as island from h1),
+    ti as (select path, min(start) as start, max(start) + 100 as "end", min(start_line) as start_line, max(end_line) as end_line from h2 group by path, island),
+    h as (select path, start_line, max(end_line) as end_line from ti group by path, start_line),
     b as (select *, max(end_line) over (partition by path order by start_line rows between unbounded preceding and 1 preceding) as e from h),
     n as (select *, sum(case when e is null or start_line > e + 1 then 1 else 0 end) over (partition by path order by start_line rows unbounded preceding) as island from b),
-    m as (select path, min(start_line)::bigint as start_line, max(end_line)::bigint as end_line from n group by path, island)"""
+    m as (select path, min(start_line)::bigint as start_line, max(end_line)::bigint as end_line from n group by path, island),
+    bk as (select ti.path, start, start_line, end_line, "end" - start as tokens, md5(array_to_string(ts[start + 1 : "end"], chr(1))) as key from ti join k on ti.path = k.path where end_line - start_line + 1 >= 6),
+    bo as (select *, row_number() over (partition by key order by path, start) as i, count(*) over (partition by key) as c from bk),
+    bl as (select key, max(case when i = c then end_line - start_line + 1 end) as lines, max(tokens) as tokens, max(c) as occurrences, max(case when i = 1 then path end) as path, max(case when i = 1 then start_line end) as start_line
+           from bo group by key having max(c) >= 2)"""
+_TURNS = _LINES.replace("select 'doc/' || doc_id as path, coalesce(text, '') as content, lang, source from documents", "select 'conv/' || conv_id || '/' || turn as path, coalesce(text, '') as content, '' as lang, '' as source from conversations")
+
+
+def _over(table: str, ctes: str, lines: int, code: int) -> str:
+    one = lambda rule, k, most, says: f"select path, 1::bigint as line, 'size:{rule}' as rule_id, {k} as actual, {most}::bigint as threshold, printf('{says}', {k}, {most}::bigint) as message, 'major' as severity from {table} where {k} > {most}"
+    return f"with {ctes} " + one("max-lines-per-file", "total", lines, "File has %d lines; maximum allowed is %d") + " union all " + one("max-code-lines-per-file", "code", code, "File has %d code lines; maximum allowed is %d")
+
 
 ORACLES: dict[str, str] = {
     "loc_summary": f"with {_LINES} select {_SUMS} from g",
     "loc_by_source_lang": f"with {_LINES} select source, lang, {_SUMS} from g group by source, lang",
-    "long_line_details": f"with {_LINES} select path, line_no::bigint as line_no, n::bigint as length, 100::bigint as threshold from t where n > 100 order by path, line_no limit 200",
+    "long_line_details": f"with {_LINES} select path, line_no::bigint as line_no, n::bigint as length, 100::bigint as threshold, greatest((select count(*) from t where n > 100) - 200, 0)::bigint as omitted from t where n > 100 order by path, line_no limit 200",
     "long_line_files": f"with {_LINES} select path, long as long_lines from g where long > 0",
     "file_sizes": f"with {_LINES} select path, total as total_lines, code as code_lines from g",
-    "size_file_violations": f"""with {_LINES} select path, 'max-lines-per-file' as rule_id, total as actual, 40::bigint as threshold, 'major' as severity from g where total > 40
-        union all select path, 'max-code-lines-per-file', code, 30::bigint, 'major' from g where code > 30""",
-    "size_max": f"with {_LINES} select count(*) as files, max(total) as max_lines_per_file, max(code) as max_code_lines_per_file from g",
-    "dup_intervals": f"with {_DUP} select path, start_line, end_line from m",
-    "dup_summary": f"with {_DUP} select coalesce(sum(end_line - start_line + 1), 0)::bigint as duplicate_lines, count(distinct path) as files_with_duplicates from m",
+    "size_file_violations": _over("g", _LINES, 40, 30),
+    "size_max": f"with {_LINES} select count(*) as files, coalesce(max(total), 0) as max_lines_per_file, coalesce(max(code), 0) as max_code_lines_per_file from g",
+    "doc_tokens": f"with {_TOKENS} select f.path, coalesce(len(ts), 0)::bigint as tokens, coalesce(ls[-1], 0)::bigint as last_line, md5(coalesce(array_to_string(ts, chr(1)), '')) as digest from f left join k0 on f.path = k0.path",
+    "dup_windows": f"with {_DUP} select path, start::bigint as start, start_line::bigint as start_line, end_line::bigint as end_line, key from w",
+    "dup_keys": f"with {_DUP} select key, windows from d",
+    "dup_intervals": f'with {_DUP} select path, start::bigint as start, "end"::bigint as "end", start_line::bigint as start_line, end_line::bigint as end_line from ti',
+    "dup_lines": f"with {_DUP} select path, start_line, end_line from m",
+    "dup_files": f"with {_DUP} select path, sum(end_line - start_line + 1)::bigint as duplicate_lines from m group by path",
+    "dup_blocks_top": f"with {_DUP} select path, start_line::bigint as start_line, lines::bigint as lines, tokens::bigint as tokens, occurrences, greatest((select count(*) from bl) - 10, 0)::bigint as omitted from bl order by lines desc, occurrences desc, path, start_line, key limit 10",
+    "dup_summary": f"with {_DUP} select coalesce(sum(end_line - start_line + 1), 0)::bigint as duplicate_lines, count(distinct path) as files_with_duplicates, case when count(*) > 0 then 'fail' else 'pass' end as status from m",
+    "turn_sizes": f"with {_TURNS} select count(*) as turns, coalesce(max(total), 0)::bigint as max_lines, coalesce(max(longest), 0)::bigint as max_bytes from g",
+    "turn_violations": _over("g", _TURNS, 1, 1),
 }
