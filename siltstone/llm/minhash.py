@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.graph import components
-from siltstone.llm.shared import carried, map_arrow, materialise
+from siltstone.llm.shared import carried, discard, map_arrow, materialise
 from siltstone.llm.textscan import Chunk, chunks, mix
 
 #: Hash collisions in each of the two collections, and minhashes in each of them. Two
@@ -112,9 +112,10 @@ def _listed(shingle: int):
     return run
 
 
-def _by_rare_shingles(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _by_rare_shingles(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of nodes in different components that may be similar enough: all
-    such pairs, by prefixes of the sets in the order of rarity.
+    such pairs, by prefixes of the sets in the order of rarity. And the table of shingles
+    that they are read from.
 
     Sets at the similarity share a shingle in the rarest fifth or so of the larger and
     the rarest tenth of the smaller, and what follows it must suffice for the overlap.
@@ -129,7 +130,7 @@ def _by_rare_shingles(open_: DataFrame, texts: DataFrame, shingle: int, percent:
     larger = placed.where(f"100 * (n - i) >= {percent} * n").select("s", F.col("node").alias("a"), F.col("root").alias("ra"), "n", "i")
     smaller = placed.where(f"{100 + percent} * (n - i) >= {2 * percent} * n").select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("n2"), F.col("i").alias("j"))
     enough = f"ra <> rb and (n2 < n or n2 = n and b < a) and {100 + percent} * least(n - i, n2 - j) >= {percent} * (n + n2)"
-    return larger.join(smaller, "s").where(enough).select("a", "b").distinct()
+    return larger.join(smaller, "s").where(enough).select("a", "b").distinct(), each
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, fan: int = FAN, width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -153,37 +154,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     schema = "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, text string" + carried(docs, carry)
     signed = materialise(map_arrow(rows, _signatures(shingle, fan, width), schema), "minhash-sets")
-    # A node is a distinct set, named by a hash of its digest, not by an id, so that
-    # repeated ids with different texts stay apart. Sets are not stored: texts take less.
-    signed = signed.withColumn("node", F.xxhash64("d1", "d2", "n_shingles"))
-    classes = materialise(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")), "minhash-nodes")
+    # A node is a distinct set (by its size and a digest of 128 bits), numbered when it is
+    # written; not an id, so that repeated ids with different texts stay apart. Sets are
+    # not stored: texts take less.
+    named = ["d1", "d2", "n_shingles"]
+    distinct = signed.where("n_shingles > 0").groupBy(*named).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
+    classes = materialise(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("n", F.col("n_shingles")), "minhash-nodes")
     # Tables whose key occurs once are dropped before nodes meet.
     left, right = F.slice("halves", 1, fan), F.slice("halves", fan + 1, fan)
     pairs = F.flatten(F.transform(left, lambda x, i: F.transform(right, lambda y, j: F.xxhash64(x, y, i, j))))
     tabled = classes.select(F.col("node").alias("doc_id"), "n", F.explode(pairs).alias("key"))
     shared = tabled.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     meets = materialise(tabled.join(shared, "key").select("key", F.col("doc_id").alias("node"), "n", "members"), "minhash-tables")
-    texts = signed.select("node", "text").join(meets.select("node").distinct(), "node", "left_semi")
-    texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
+    wanted = classes.select(*named, "node").join(meets.select("node").distinct(), "node", "left_semi")
+    texts = materialise(signed.select(*named, "text").join(wanted, named).groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
     # The pivots are the nodes that meet the most others: a text that a group of near
     # copies was made from is nearer to each of them than they are to each other.
     weights = meets.groupBy("node").agg(F.sum("members").alias("weight"))
     stars = _to_pivots(meets.select("key", "node", "n").join(weights, "node"), percent)
-    groups = components(materialise(_verified(stars, texts, shingle, percent), "minhash-links"))
+    links = materialise(_verified(stars, texts, shingle, percent), "minhash-links")
+    groups = components(links)
+    discard(links)
     # Tables that still hold several components: pairs across these.
     held = meets.select("key", "node").join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = held.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
     open_ = materialise(held.join(mixed, "key", "left_semi").select("node", "root").distinct(), "minhash-open")
-    more = materialise(_verified(materialise(_by_rare_shingles(open_, texts, shingle, percent), "minhash-pairs"), texts, shingle, percent), "minhash-links")
+    pairs, each = _by_rare_shingles(open_, texts, shingle, percent)
+    pairs = materialise(pairs, "minhash-pairs")
+    discard(each)
+    more = materialise(_verified(pairs, texts, shingle, percent), "minhash-links")
+    discard(pairs, texts, meets)
     if not more.isEmpty():
         ra, rb = open_.select(F.col("node").alias("a"), F.col("root").alias("ra")), open_.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         joined = components(more.join(ra, "a").join(rb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         moved = groups.join(joined.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-        groups = materialise(moved.unionByName(joined.join(groups.select("id"), "id", "left_anti")), "minhash-groups")
+        before, groups = groups, materialise(moved.unionByName(joined.join(groups.select("id"), "id", "left_anti")), "minhash-groups")
+        discard(before, joined, collect=False)
     # Node -> least id of its component, for each distinct set; then every row.
-    named = classes.where("rep is not null").select("rep", F.col("node").alias("id")).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    placed = materialise(named.join(least, "root").select(F.col("id").alias("node"), "component"), "minhash-placed")
-    out = signed.select("doc_id", "n_shingles", "node", *carry).join(placed, "node", "left")
+    known = classes.where("rep is not null").select(*named, "rep", F.col("node").alias("id")).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = known.groupBy("root").agg(F.min("rep").alias("component"))
+    placed = materialise(known.join(least, "root").select(*named, "component"), "minhash-placed")
+    discard(classes, open_, more, groups)
+    out = signed.select("doc_id", *named, *carry).join(placed, named, "left")
     comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept"), *carry)

@@ -40,14 +40,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, collect: bool = True) -> None:
     """Delete tables that ``materialise`` wrote and nothing reads any more, and let Spark
     clear the shuffle files of finished jobs (it does so when the driver collects)."""
     for df in tables:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df._written)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
+    if tables and collect:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
