@@ -16,6 +16,8 @@ from siltstone.llm.shared import materialise, n_words
 
 #: Documents in a block of a source, and in a range of virtual time, on average.
 BLOCK = 4096
+#: Blocks, or ranges, whose sums are added up together.
+SPAN = 1024
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -40,23 +42,38 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), ma
     return w.select("source", "source_size", "weight", F.when(F.col("ratio") <= F.col("level"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
+def _running(sums: DataFrame, key: str) -> DataFrame:
+    """Add ahead to (source, key, s): the sum of s over all smaller keys of the source. In
+    two steps, groups of SPAN keys and keys within a group, so that no task has more than
+    a few thousand rows, or one row for SPAN keys."""
+    sums = sums.withColumn("group", F.floor(F.col(key) / SPAN))
+    before = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("source", "group").agg(F.sum("s").alias("t")).withColumn("more", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    groups = groups.select(F.col("source").alias("source_"), F.col("group").alias("group_"), "more")
+    within = Window.partitionBy("source", "group").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    own = sums.withColumn("own", F.coalesce(F.sum("s").over(within), F.lit(0)))
+    found = own.join(groups, F.col("source").eqNullSafe(F.col("source_")) & (F.col("group") == F.col("group_")))
+    return found.withColumn("ahead", F.col("own") + F.col("more")).drop("source_", "group_", "group", "own", "more")
+
+
 def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """Return per input row: doc_id, source, size, source_size, target, taken, epochs,
     and the columns in ``carry``.
 
     * size is the number of words, 0 for null text; such rows take nothing
     * sources are in the order of their code points, null last, as a source of its own
-    * the order within a source is that of md5(seed, doc_id); ties go by doc_id, then
-      by size, so repeated rows get the same set of results in any run
+    * the order within a source is that of md5(seed, doc_id, md5(text)); ties are rows
+      with the same id and text, which get the same set of results in any run
+    * ids may be of any type that has an order
     * the item at which the words taken would go over the budget and all after it are
       left out
     * an empty table gives an empty result; other columns are ignored
     """
     rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *carry)
-        .withColumn("u", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("u"), *carry),
         "mix-rows",
     )
+    none = F.lit("" if docs.schema[id_col].dataType.typeName() == "string" else 0).cast(docs.schema[id_col].dataType)
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = min(40, max(0, (n // BLOCK).bit_length()))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, max_epochs=max_epochs)
@@ -64,9 +81,7 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # blocks (ranges of the hash), then running sums within each block.
     block = F.shiftright(F.conv(F.substring("u", 1, 10), 16, 10).cast("long"), 40 - bits)
     rows = rows.withColumn("block", block)
-    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("s"))
-    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("ahead", F.coalesce(F.sum("s").over(ahead), F.lit(0)))
+    blocks = _running(rows.groupBy("source", "block").agg(F.sum("size").alias("s")), "block")
     blocks = blocks.join(targets.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_", "s").withColumnRenamed("source", "source_").withColumnRenamed("block", "block_")
     within = Window.partitionBy("source", "block").orderBy("u", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = rows.join(blocks, F.col("source").eqNullSafe(F.col("source_")) & (F.col("block") == F.col("block_"))).withColumn("cum", F.col("ahead") + F.sum("size").over(within))
@@ -82,8 +97,8 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def over(some: DataFrame):
         """The first range that goes over the budget, and the words before it."""
         sums = some.groupBy("range").agg(F.sum("size").alias("s"))
-        upto = sums.select("range", F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "s")
-        return upto.where(F.col("upto") > total).orderBy("range").select("range", F.col("upto") - F.col("s")).first()
+        upto = _running(sums.withColumn("source", F.lit(None).cast("string")), "range").withColumn("upto", F.col("ahead") + F.col("s"))
+        return upto.where(F.col("upto") > total).orderBy("range").select("range", "ahead").first()
 
     # It is among the first, unless documents are long beside their source's target.
     cut = over(items.where("finish <= 2")) or over(items)
@@ -95,8 +110,8 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         stop = last.where(F.col("run") > total).orderBy("run").select("finish", F.col("source").isNull().alias("z"), "source", "u", F.col("doc_id").isNull().alias("y"), "doc_id", "cum", "epoch").first()
         # An item is taken if it comes before the first that doesn't fit.
         def at(epoch: int) -> Column:
-            here = F.struct(finish(F.lit(epoch)), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.col("u"), F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("cum"), F.lit(epoch))
-            there = F.struct(F.lit(stop[0]).cast("double"), F.lit(stop[1]), F.lit(stop[2] or ""), F.lit(stop[3]), F.lit(stop[4]), F.lit(stop[5] or 0).cast("long"), F.lit(stop[6]).cast("long"), F.lit(stop[7]))
+            here = F.struct(finish(F.lit(epoch)), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.col("u"), F.col("doc_id").isNull(), F.coalesce("doc_id", none), F.col("cum"), F.lit(epoch))
+            there = F.struct(F.lit(stop[0]).cast("double"), F.lit(stop[1]), F.lit(stop[2] or ""), F.lit(stop[3]), F.lit(stop[4]), F.coalesce(F.lit(stop[5]).cast(docs.schema[id_col].dataType), none), F.lit(stop[6]).cast("long"), F.lit(stop[7]))
             return F.when(here < there, 1).otherwise(0)
 
         taken_epochs = sum((at(e) for e in range(1, max_epochs)), at(0))

@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
         from n""",
     "op7_fair_mixing": f"""
-        with r as (select doc_id, source, {_SIZE}::bigint as size, md5('mix' || coalesce(doc_id::varchar, '')) as u from documents),
+        with r as (select doc_id, source, {_SIZE}::bigint as size, md5('mix' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as u from documents),
         s as (select source, sum(size)::bigint as source_size from r group by source),
         w as (select *, [5, 2, 1][((row_number() over (order by source asc nulls last) - 1) % 3 + 1)::int]::bigint as weight, source_size * 3 as cap from s),
         v as (select *, cap::double / weight as ratio, (select sum(source_size) from s)::bigint as total from w),
