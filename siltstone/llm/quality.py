@@ -196,11 +196,12 @@ def learn_rules(x: dict[str, np.ndarray], poor: np.ndarray, *, max_rules: int =
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS, **options) -> list[Rule]:
     """Learn rules from at most ``rows`` labelled documents, those whose ids have the
-    least hashes. Rows with a null id, text or label teach nothing."""
+    least hashes. Rows with a null id, text or label teach nothing; of several labels of
+    an id the worst counts. The chosen labels are sent to all workers: two numbers each."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(taken, "doc_id", "left_semi")
-    found = statistics(texts).join(taken, "doc_id").select(*[feature(k).alias(k) for k in FEATURES], (F.col("y") == 0).alias("poor"), "doc_id").orderBy("doc_id").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(taken), "doc_id", "left_semi")
+    found = statistics(texts).join(F.broadcast(taken), "doc_id").select(*[feature(k).alias(k) for k in FEATURES], (F.col("y") == 0).alias("poor"), "doc_id").orderBy("doc_id").toPandas()
     return learn_rules({k: found[k].to_numpy(float) for k in FEATURES}, found["poor"].to_numpy(bool), **options)
 
 
