@@ -1,22 +1,48 @@
 """The corpus pipeline: rules, exact and near copies, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a table; each is written and read
-again before the next one starts.
+again before the next one starts. So a stage begins by deleting what the one before it
+left in the shared folder.
+
+All stages: null texts count as empty; null and repeated ids are rows of their own; an
+empty table gives an empty result; columns other than those of documents are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, minhash, mixing, packing, quality
-from siltstone.llm.shared import documents, materialise
+from siltstone.llm.shared import discard, documents, materialise, written_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+_LEFT: list[DataFrame] = []
+
+
+def stage(work: Callable, *, last: bool = False) -> Callable:
+    """A stage that deletes the tables of the stage before, and remembers its own. The
+    result of the last one is read by whoever asked for it, no one knows when: its tables
+    stay."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        old = [t for t in _LEFT if t.sparkSession.sparkContext is spark.sparkContext]
+        _LEFT.clear()
+        discard(*old)
+        with written_tables() as own:
+            out = work(spark, docs, sf_dir)
+        _LEFT.extend([] if last else own)
+        return out
+
+    return run_stage
+
+
 def keyed(docs: DataFrame, name: str) -> DataFrame:
     """The documents with a key of their own for each row, ``row``: ids can be null or
     repeated. It is written, so that it stays the same however often it is read."""
@@ -28,24 +54,28 @@ def kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
     return docs.join(judged.where("not kept").select("row"), "row", "left_anti").select(*COLUMNS)
 
 
+@stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go."""
     labels, docs = spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed(docs, "rules")
     return kept(docs, quality.apply_rules(quality.statistics(docs, carry=("row",)), quality.fit(docs, labels)))
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of equal texts stays."""
     docs = keyed(docs, "exact")
     return kept(docs, exact_dedup.exact_dedup(docs, carry=("row",)))
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8) stays."""
     docs = keyed(docs, "near")
     return kept(docs, minhash.near_duplicates(docs, carry=("row",)))
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     docs = keyed(docs, "mix")
@@ -54,6 +84,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(epochs, "row").withColumn("epoch", times).select(*COLUMNS)
 
 
+@partial(stage, last=True)
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
     import public_tokenizers
@@ -68,7 +99,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, before = documents(spark, sf_dir), []
+    for name, work in STAGES[:-1]:
+        docs = materialise(work(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before, collect=False)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Tables written within ``written_tables``, innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def written_tables() -> Iterator[list[DataFrame]]:
+    """A list of all tables that ``materialise`` writes within the block, so that they can
+    be deleted when what is made from them has been written."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back. What follows then depends
     on files that outlive any executor, not on shuffle files or cached blocks."""
@@ -37,6 +54,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._written = path
+    if _SCOPES:
+        _SCOPES[-1].append(found)
     return found
 
 
