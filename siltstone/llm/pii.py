@@ -47,19 +47,52 @@ PIECES = 8
 _HINTS = r"(?i)(?:phone|call|tel|fax|mobile|contact|mail|card|account)\W{0,6}\z"
 
 
+#: A text is worked on in segments of at least so many code points: what is done for each
+#: span (positions, overlaps, redaction) then costs no more in a long text.
+SEGMENT = 4_096
+# Where segments may end: no pattern matches across these places.
+_EDGE = r"(?<=[^A-Za-z0-9._%+@()\[\]/\x20-])|(?<=[A-Za-z]\x20)(?=[A-Za-z])|(?<=\x20)(?=\+)"
+#: Parts whose lengths are summed together; their sums are summed after that.
+_BLOCK = 512
+_SPAN = "array<struct<start:bigint,end:bigint,s:string,gap:string,next:string>>"
+
+
+def _let(x: Column, use: Callable) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _ends(parts: Column) -> Column:
+    """0, then where each string of a column of arrays that aren't empty ends."""
+    summed = lambda xs, of: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda e, x: F.concat(e, F.array(F.element_at(e, -1) + of(x))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int")), lambda b: summed(F.slice(parts, b * _BLOCK + 1, _BLOCK), F.length))
+    moved = lambda bs: F.zip_with(bs, F.slice(summed(bs, lambda b: F.element_at(b, -1)), 1, F.size(bs)), lambda b, at: F.transform(F.slice(b, 2, _BLOCK), lambda x: x + at))
+    return F.concat(F.array(F.lit(0).cast("long")), F.flatten(_let(blocks, moved)))
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """Leftmost matches as array of (start, end), code points."""
+    """Leftmost matches as array of (start, end, s: what matched, gap: the last 24 code
+    points between it and the match before it, next: the code point after it)."""
     parts = F.split(F.regexp_replace(text, pattern, f"{_CUT}$0{_CUT}"), _CUT)
-    kind = "array<struct<start:bigint,end:bigint>>"
-    walked = F.aggregate(
-        parts, F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("hit"), F.expr("array()").cast(kind).alias("f")),
-        lambda s, x: F.struct((s.at + F.length(x)).alias("at"), (~s.hit).alias("hit"), F.when(s.hit, F.concat(s.f, F.array(F.struct(s.at.alias("start"), (s.at + F.length(x)).alias("end"))))).otherwise(s.f).alias("f")),
-    )
-    return walked.f
 
+    def spans(p: Column) -> Column:
+        odd = F.sequence(F.lit(1), F.size(p) - 1, F.lit(2))
+        one = lambda e: lambda i: F.struct(F.get(e, i).alias("start"), F.get(e, i + 1).alias("end"), F.get(p, i).alias("s"), F.right(F.get(p, i - 1), F.lit(24)).alias("gap"), F.left(F.get(p, i + 1), F.lit(1)).alias("next"))
+        return F.when(F.size(p) > 1, _let(_ends(p), lambda e: F.transform(odd, one(e)))).otherwise(F.expr("array()").cast(_SPAN))
 
-def _of(span: Column, text: Column) -> Column:
-    return F.substring(text, (span.start + 1).cast("int"), (span.end - span.start).cast("int"))
+    return _let(parts, spans)
+
+
+def _segments(text: Column, least: int) -> Column:
+    """A text as array of (at: where it starts, before: the last 24 code points of the
+    one before it, text, digits: whether it has any)."""
+    cut = F.split(F.regexp_replace(text, f"(?s)\\G(?:.{{{least},}}?(?:{_EDGE})|.+\\z)", f"$0{_CUT}"), _CUT)
+
+    def made(p: Column) -> Column:
+        one = lambda e: lambda x, i: F.struct(F.get(e, i).alias("at"), F.coalesce(F.right(F.get(p, i - 1), F.lit(24)), F.lit("")).alias("before"), x.alias("text"), x.rlike("[0-9]").alias("digits"))
+        return _let(_ends(p), lambda e: F.transform(p, one(e)))
+
+    return F.filter(_let(cut, made), lambda g: g.text != "")
 
 
 def _digits(x: Column) -> Column:
@@ -74,22 +107,27 @@ def _luhn(d: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(d)), worth), F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
-def base_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, and per kind an array of (start, end)."""
+def base_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """doc_id, text, and its segments (at, before, text, digits, per kind an array of
+    spans, base: those of all kinds). Spans count from the start of their segment."""
     t = F.translate(F.coalesce(F.col(text_col), F.lit("")), _CUT + _OTHER + _JOIN + _DOT, "\ufffd" * 4)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("text")).withColumn("digits", F.col("text").rlike("[0-9]"))
-    none = F.expr("array()").cast("array<struct<start:bigint,end:bigint>>")
-    text = F.col("text")
-    dotted = F.regexp_replace(text, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
-    joined = F.regexp_replace(text, r"(?<=[0-9])[\x20-](?=[0-9])", _JOIN)
-    raw = rows.select(
-        "doc_id", "text", "digits",
-        F.when(F.contains(text, F.lit("@")), _found(dotted, _EMAIL)).otherwise(none).alias("email"), F.when(F.col("digits"), _found(text, _IP)).otherwise(none).alias("ip"),
-        F.when(F.col("digits"), _found(joined, _CARD)).otherwise(none).alias("card"), F.when(F.contains(text, F.lit("+")), _found(text, _PHONE)).otherwise(none).alias("phone"),
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("text"))
+    none = F.expr("array()").cast(_SPAN)
     octets = f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"
-    long_enough = F.filter("card", lambda s: F.length(_digits(_of(s, text))).between(13, 19))
-    return raw.withColumn("ip", F.filter("ip", lambda s: _of(s, text).rlike(octets))).withColumn("card", F.filter(long_enough, lambda s: _luhn(_digits(_of(s, text))))).withColumn("phone", F.filter("phone", lambda s: F.length(_digits(_of(s, text))).between(9, 15)))
+
+    def searched(g: Column) -> Column:
+        dotted = F.regexp_replace(g.text, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
+        joined = F.regexp_replace(g.text, r"(?<=[0-9])[\x20-](?=[0-9])", _JOIN)
+        email = F.when(F.contains(g.text, F.lit("@")), _found(dotted, _EMAIL)).otherwise(none)
+        ip = F.filter(F.when(g.digits, _found(g.text, _IP)).otherwise(none), lambda s: s.s.rlike(octets))
+        card = F.filter(F.when(g.digits, _found(joined, _CARD)).otherwise(none), lambda s: F.when(F.length(_digits(s.s)).between(13, 19), _luhn(_digits(s.s))).otherwise(F.lit(False)))
+        phone = F.filter(F.when(F.contains(g.text, F.lit("+")), _found(g.text, _PHONE)).otherwise(none), lambda s: F.length(_digits(s.s)).between(9, 15))
+        return F.struct(g.at.alias("at"), g.before.alias("before"), g.text.alias("text"), g.digits.alias("digits"), email.alias("email"), ip.alias("ip"), card.alias("card"), phone.alias("phone"))
+
+    def joined(g: Column) -> Column:
+        return g.withField("base", F.concat(*[g[kind] for kind in KINDS]))
+
+    return rows.withColumn("segments", F.transform(F.transform(_segments(F.col("text"), segment), searched), joined))
 
 
 FEATURES = ["n_digits", "length", "groups", "parens", "dashes", "dots", "slashes", "spaces", "longest", "hinted", "letter_next", "mail"]
@@ -105,30 +143,33 @@ def _pieces(run: Column, mail: Column) -> Column:
 
 
 def candidates(spans: DataFrame) -> DataFrame:
-    """Add cands: array of (start, end, kind number, known (overlaps a base span), right
-    (is a base span, or a base phone number
-    without its country code), features): runs that the generators find, and neighbouring pieces
-    of them, up to PIECES of a number and from the start of a mail address."""
-    text = F.col("text")
-    none = F.expr("array()").cast("array<struct<start:bigint,end:bigint>>")
+    """Add cands, to the segments and, counted from the start of the text, to the rows:
+    array of (start, end, kind number, known (overlaps a base span), right (is a base
+    span, or a base phone number without its country code), features): runs that the
+    generators find, and neighbouring pieces of them, up to PIECES of a number and from
+    the start of a mail address."""
+    none = F.expr("array()").cast(_SPAN)
     count = lambda s, p: F.length(F.regexp_replace(s, f"[^{p}]", ""))
 
-    def run(mail: int) -> Callable:
+    def run(g: Column, mail: int) -> Callable:
         def made(s: Column) -> Column:
-            around = F.substring(text, F.greatest(s.start - 23, F.lit(1)).cast("int"), F.least(s.start, F.lit(24)).cast("int"))
-            return F.struct(s.start.alias("start"), F.lit(mail).alias("mail"), _pieces(_of(s, text), F.lit(mail)).alias("p"), around.rlike(_HINTS).alias("hinted"), F.substring(text, (s.end + 1).cast("int"), F.lit(1)).rlike("[A-Za-z]").alias("next"))
+            around = F.when(F.length(s.gap) == s.start, F.concat(g.before, s.gap)).otherwise(s.gap)
+            return F.struct(s.start.alias("start"), F.lit(mail).alias("mail"), _pieces(s.s, F.lit(mail)).alias("p"), around.rlike(_HINTS).alias("hinted"), s.next.rlike("[A-Za-z]").alias("next"))
 
         return made
 
-    runs = F.concat(
-        F.transform(F.when(F.col("digits"), _found(text, _NUMBERS)).otherwise(none), run(0)),
-        F.transform(F.when(text.rlike(r"@|[\[(]at[\])]"), _found(text, _MAILS)).otherwise(none), run(1)),
-    )
+    def runs(g: Column) -> Column:
+        return F.concat(
+            F.transform(F.when(g.digits, _found(g.text, _NUMBERS)).otherwise(none), run(g, 0)),
+            F.transform(F.when(g.text.rlike(r"@|[\[(]at[\])]"), _found(g.text, _MAILS)).otherwise(none), run(g, 1)),
+        )
 
     def parts(r: Column) -> Column:
         """(start, mail, s, hinted, next, whole, second) of the run and of its neighbouring pieces."""
+        return _let(_ends(r.p), lambda ends: parts_at(r, ends))
+
+    def parts_at(r: Column, ends: Column) -> Column:
         n = F.size(r.p)
-        ends = F.aggregate(r.p, F.array(F.lit(0).cast("long")), lambda e, x: F.concat(e, F.array(F.element_at(e, -1) + F.length(x))))
 
         def part(i: Column, k: Column) -> Column:
             joined = F.array_join(F.slice(r.p, i + 1, k), "")
@@ -148,7 +189,7 @@ def candidates(spans: DataFrame) -> DataFrame:
         paired = lambda c: count(c.s, "(") == count(c.s, ")")
         return F.filter(every, lambda c: c.whole | (c.mail == 1) | ((F.length(c.s) >= 7) & paired(c)))
 
-    def judged(c: Column) -> Column:
+    def judged(g: Column, c: Column) -> Column:
         s, end = c.s, c.start + F.length(c.s)
         groups = F.split(s, "[^0-9]+")
         digits = _digits(s)
@@ -156,14 +197,19 @@ def candidates(spans: DataFrame) -> DataFrame:
         card = F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))
         # Both begin and end with a digit, but for a plus sign or bracket before it.
         same = lambda b: (b.end == end) & ((b.start == c.start) | ((b.start == c.start + 1) & s.rlike("^[^0-9]")))
-        right = F.exists("base", lambda b: F.when(c.mail == 1, (c.start <= b.start) & (b.end <= end)).otherwise(same(b)))
+        right = F.exists(g.base, lambda b: F.when(c.mail == 1, (c.start <= b.start) & (b.end <= end)).otherwise(same(b)))
         # So is the number within a country that follows the country code of one.
-        right = right | F.exists("phone", lambda b: c.second & (b.end == end) & (c.start - b.start).between(2, 5))
-        known = F.exists("base", lambda b: (b.start < end) & (c.start < b.end))
+        right = right | F.exists(g.phone, lambda b: c.second & (b.end == end) & (c.start - b.start).between(2, 5))
+        known = F.exists(g.base, lambda b: (b.start < end) & (c.start < b.end))
         return F.struct(c.start.alias("start"), end.alias("end"), F.when(c.mail == 1, 0).when(card, 2).otherwise(3).alias("k"), known.alias("known"), right.alias("right"), F.array(*[v.cast("double") for v in values]).alias("x"))
 
-    found = spans.withColumn("base", F.concat(*KINDS)).withColumn("runs", runs).withColumn("parts", F.flatten(F.transform("runs", parts)))
-    return found.withColumn("cands", F.transform("parts", judged)).drop("runs", "parts")
+    found = F.transform("segments", lambda g: g.withField("cands", F.transform(F.flatten(F.transform(runs(g), parts)), lambda c: judged(g, c))))
+    return spans.withColumn("segments", found).withColumn("cands", _in_text(lambda g: g.cands))
+
+
+def _in_text(spans: Callable) -> Column:
+    """Spans of all segments, counted from the start of the text."""
+    return F.flatten(F.transform("segments", lambda g: F.transform(spans(g), lambda s: s.withField("start", s.start + g.at).withField("end", s.end + g.at))))
 
 
 @dataclass(frozen=True)
@@ -245,9 +291,10 @@ def fit(docs: DataFrame, *, rows: int = TRAINING_DOCS, id_col: str = "doc_id", t
     return boost(np.array([r.x for r in found], float).reshape(-1, len(FEATURES)), np.array([r.right for r in found], bool), **options)
 
 
-def find_pii(docs: DataFrame, model: Boosted, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, model: Boosted, *, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """Return per input row: doc_id, text, base and spans (arrays of (kind number, start,
-    end, kind) in the order of kinds, then start).
+    end, kind) in the order of kinds, then start), and segments (at, text, base and spans
+    counted from the start of the segment). Results do not depend on ``segment``.
 
     * null and empty texts have no spans; texts of any length are searched whole
     * base spans of different kinds may overlap; added ones overlap no base span and no
@@ -256,33 +303,44 @@ def find_pii(docs: DataFrame, model: Boosted, *, id_col: str = "doc_id", text_co
     * repeated rows get the same results; an empty table gives an empty result; other
       columns are ignored
     """
-    judged = candidates(base_spans(docs, id_col=id_col, text_col=text_col))
+    judged = candidates(base_spans(docs, id_col=id_col, text_col=text_col, segment=segment))
+    kind = "array<struct<k:int,start:bigint,end:bigint,kind:string>>"
 
     def named(k: int, spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(F.lit(k).alias("k"), s.start.alias("start"), s.end.alias("end"), F.lit(KINDS[k]).alias("kind")))
 
-    base = F.concat(*[named(k, F.col(kind)) for k, kind in enumerate(KINDS)])
-    if np.isfinite(model.threshold):
-        scored = F.transform(F.filter("cands", lambda c: ~c.known), lambda c: F.struct((-model.column(c.x)).alias("score"), (F.get(c.x, F.lit(0)) > 15).alias("long"), (c.start - c.end).alias("size"), c.start.alias("start"), c.end.alias("end"), c.k.alias("k")))
+    def added(g: Column) -> Column:
+        if not np.isfinite(model.threshold):
+            return F.expr("array()").cast(kind)
+        scored = F.transform(F.filter(g.cands, lambda c: ~c.known), lambda c: F.struct((-model.column(c.x)).alias("score"), (F.get(c.x, F.lit(0)) > 15).alias("long"), (c.start - c.end).alias("size"), c.start.alias("start"), c.end.alias("end"), c.k.alias("k")))
         best = F.array_sort(F.filter(scored, lambda c: c.score <= -model.threshold))
-        kind = "array<struct<k:int,start:bigint,end:bigint,kind:string>>"
-        extra = F.aggregate(
+        return F.aggregate(
             best, F.expr("array()").cast(kind),
             lambda t, c: F.when(F.exists(t, lambda o: (o.start < c.end) & (c.start < o.end)), t).otherwise(F.concat(t, F.array(F.struct(c.k.alias("k"), c.start.alias("start"), c.end.alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), c.k + 1).alias("kind"))).cast(kind))),
         )
-    else:
-        extra = F.slice(base, 1, 0)
-    return judged.select("doc_id", "text", base.alias("base"), extra.alias("extra")).select("doc_id", "text", "base", F.sort_array(F.concat("base", "extra")).alias("spans"))
+
+    def taken(g: Column) -> Column:
+        base = F.concat(*[named(k, g[name]) for k, name in enumerate(KINDS)])
+        return F.struct(g.at.alias("at"), g.text.alias("text"), base.alias("base"), F.concat(base, added(g)).alias("spans"))
+
+    segments = F.transform("segments", taken)
+    found = judged.select("doc_id", "text", segments.alias("segments"))
+    return found.select("doc_id", "text", F.sort_array(_in_text(lambda g: g.base)).alias("base"), F.sort_array(_in_text(lambda g: g.spans)).alias("spans"), "segments")
 
 
 def redact(found: DataFrame) -> DataFrame:
     """doc_id and text, each run of overlapping spans replaced by [KIND] of its first."""
-    order = F.sort_array(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
-    walked = F.aggregate(
-        order, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("t")),
-        lambda a, s: F.when(s.start >= a.at, F.struct(s.end.alias("at"), F.concat(a.t, F.substring(F.col("text"), (a.at + 1).cast("int"), (s.start - a.at).cast("int")), F.lit("["), F.upper(s.kind), F.lit("]")).alias("t"))).otherwise(F.struct(F.greatest(a.at, s.end).alias("at"), a.t.alias("t"))),
-    )
-    return found.select("doc_id", walked.alias("w"), "text").select("doc_id", F.concat("w.t", F.substring(F.col("text"), (F.col("w.at") + 1).cast("int"), F.length("text"))).alias("text"))
+
+    def piece(g: Column) -> Column:
+        order = F.sort_array(F.transform(g.spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+        walked = F.aggregate(
+            order, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("t")),
+            lambda a, s: F.when(s.start >= a.at, F.struct(s.end.alias("at"), F.concat(a.t, F.substring(g.text, (a.at + 1).cast("int"), (s.start - a.at).cast("int")), F.lit("["), F.upper(s.kind), F.lit("]")).alias("t"))).otherwise(F.struct(F.greatest(a.at, s.end).alias("at"), a.t.alias("t"))),
+            lambda a: F.concat(a.t, F.substring(g.text, (a.at + 1).cast("int"), F.length(g.text))),
+        )
+        return walked
+
+    return found.select("doc_id", F.array_join(F.transform("segments", piece), "").alias("text"))
 
 
 def listed(spans: Column) -> Column:
