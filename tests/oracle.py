@@ -15,7 +15,7 @@ def rows(names, values):
 
 def assert_same(spark, query, sql, sf=SF):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "events"):
+    for t in ("documents", "labels", "conversations", "events", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = query(spark, sf), con.execute(sql)
     names = [d[0] for d in want.description]
