@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, class_lm, exact_dedup, langid, minhash, mixing, packing, pii, quality, substrings
+from siltstone.llm import centroids, chat, class_lm, exact_dedup, infill, langid, minhash, mixing, packing, pii, quality, substrings, winnowing
 from siltstone.llm.shared import documents
 
 
@@ -66,6 +66,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(documents(spark, sf_dir))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
@@ -77,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_chat_format": op10_chat_format,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_lloyd_clusters": op12_lloyd_clusters,
+    "op13_decontaminate": op13_decontaminate,
 }
