@@ -1,7 +1,8 @@
 """Duplicate blocks: token windows that recur, merged into intervals of lines.
 
-A file's tokens are one row (path, t: texts, l: lines); windows are slices of it, and all
-that leaves the row is a digest of the window, its place and its lines.
+A file's tokens are one row (path, t: texts, l: lines). ``windows`` lists all windows, as
+slices with a digest each; ``repeated_windows`` of ``token_windows`` finds those that
+recur from a table of token hashes, without listing the others.
 """
 
 from __future__ import annotations
@@ -94,8 +95,10 @@ def blocks(spans: DataFrame, held: DataFrame, *, min_lines: int = MIN_LINES) ->
     occurrences, file and start_line of the first. Equal texts can span different numbers
     of lines; those of the last occurrence count."""
     wide = spans.where(F.col("end_line") - F.col("start_line") + 1 >= min_lines)
-    key = F.md5(F.array_join(F.slice("t", F.col("start") + 1, F.col("end") - F.col("start")), _SEP))
-    keyed = held.select("path", "t").join(wide, "path").select("path", "start", "start_line", "end_line", (F.col("end") - F.col("start")).alias("tokens"), key.alias("key"))
+    cut = lambda c: F.slice(c, F.col("start") + 1, F.col("end") - F.col("start"))
+    # A table of token hashes gives a key of two hashes over them.
+    key, t = (F.array(F.xxhash64(cut("h")), F.xxhash64(F.lit(1), cut("h"))), "h") if "h" in held.columns else (F.md5(F.array_join(cut("t"), _SEP)), "t")
+    keyed = held.select("path", t).join(wide, "path").select("path", "start", "start_line", "end_line", (F.col("end") - F.col("start")).alias("tokens"), key.alias("key"))
     place = F.struct("path", "start")
     found = keyed.groupBy("key").agg(
         F.max_by(F.col("end_line") - F.col("start_line") + 1, place).cast("long").alias("lines"), F.max("tokens").cast("long").alias("tokens"), F.count(F.lit(1)).alias("occurrences"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import duplicates, lines
+from siltstone.operators.token_windows import repeated_windows, token_table
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +56,16 @@ def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.repeated_keys(duplicates.windows(_files(spark, sf_dir)))
 
 
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(_files(spark, sf_dir))
+
+
+def _intervals(table: DataFrame) -> DataFrame:
+    return duplicates.token_intervals(repeated_windows(table, size=duplicates.WINDOW, min_lines=duplicates.MIN_LINES))
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.token_intervals(duplicates.repeated(duplicates.windows(_files(spark, sf_dir))))
+    return _intervals(_table(spark, sf_dir))
 
 
 def dup_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +86,8 @@ def dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dup_blocks_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = duplicates.blocks(_spans(spark, sf_dir), duplicates.held_tokens(_files(spark, sf_dir)))
-    return duplicates.top_blocks(found, listed=10)
+    table = _table(spark, sf_dir)
+    return duplicates.top_blocks(duplicates.blocks(_intervals(table), table), listed=10)
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
