@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.lines import classified
 from siltstone.sources.tables import dropped, written
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _SPACE, _WORD, _MARK = 0, 1, 2
 #: Tokens after which a batch goes back to Spark.
-BATCH = 1 << 19
+BATCH = 1 << 17
+#: Files whose numbers are sent to all tasks, at most: some 32 MB.
+SENT = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -44,12 +47,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, base, np.uint64)
-    down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    """Powers of a base and of its inverse, at least ``size`` of them; kept."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        size = 1 << max(16, (size - 1).bit_length())
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _POWERS[base]
 
 
 class Prefix:
@@ -57,7 +65,7 @@ class Prefix:
     base**position, modulo 2**64, times the inverse power of the start."""
 
     def __init__(self, values: np.ndarray, base: int = _BASES[0]) -> None:
-        up, self.down = _powers(base, 1 << max(12, int(len(values)).bit_length()))
+        up, self.down = _powers(base, len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
@@ -112,15 +120,26 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many += len(found[-1][0])
             if many >= BATCH or i + 1 == batch.num_rows:
                 columns = [_listed([h.view(np.int64) for h, _ in found], pa.int64()), _listed([line for _, line in found], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, i + 1 - lo) for k in (0, 1)), *columns], ["row", "path", "h", "l"])
+                rest = [k for k in range(batch.num_columns) if k != 2]
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(k).slice(lo, i + 1 - lo) for k in rest)], ["h", "l", *(batch.schema.names[k] for k in rest)])
                 lo, many, found = i + 1, 0, []
 
 
-def token_table(files: DataFrame) -> DataFrame:
+def token_table(files: DataFrame, *, carry: tuple[str, ...] = ()) -> DataFrame:
     """row (a number of its own), path, h (token hashes), l (their lines) of each file,
-    written: the one time that the texts are read. Null content has no tokens."""
-    rows = files.select(F.monotonically_increasing_id().alias("row"), "path", F.col("content").cast("binary").alias("content"))
-    return written(rows.mapInArrow(_hashed, "row long, path string, h array<long>, l array<int>"), "token-table")
+    and the columns in ``carry``, written: the one time that the texts are read. Null
+    content has no tokens."""
+    rows = files.select(F.monotonically_increasing_id().alias("row"), "path", F.col("content").cast("binary").alias("content"), *carry)
+    kept = rows.drop("content").schema
+    schema = ", ".join(["h array<long>, l array<int>", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
+    return written(rows.mapInArrow(_hashed, schema), "token-table")
+
+
+def measured_table(files: DataFrame, **limits: int) -> DataFrame:
+    """``token_table`` with the line counts of each file (lines.classified) and its other
+    columns: all that the collectors on texts need, from one scan."""
+    counts = classified(files.withColumn("body", F.col("content")), **limits).withColumnRenamed("body", "content")
+    return token_table(counts, carry=tuple(c for c in counts.columns if c not in ("path", "content")))
 
 
 def table_of(held: DataFrame) -> DataFrame:
@@ -181,10 +200,13 @@ def candidates(table: DataFrame, *, size: int, min_lines: int) -> DataFrame:
     the same gram, at the same place within them."""
     marks = written(table.select("row", "h", "l").mapInArrow(_runs(size, min_lines), "row long, mark long, lo int, hi int"), "window-marks")
     twice = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark")
-    runs = marks.join(twice, "mark", "left_semi").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
-    held = table.join(runs, "row").select("path", "h", "l", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+    runs = written(marks.join(twice, "mark", "left_semi").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("r")), "window-runs")
+    # Most files have no such window: where their numbers can be sent to all tasks, the
+    # others stay where they are.
+    held = table.join(F.broadcast(runs.select("row")), "row", "left_semi") if runs.count() <= SENT else table
+    held = held.join(runs, "row").select("path", "h", "l", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
     found = written(held.mapInArrow(_keyed(size), "path string, start int, start_line int, end_line int, k1 long, k2 long"), "window-keys")
-    dropped(marks)
+    dropped(marks, runs)
     return found
 
 

@@ -63,3 +63,10 @@ def test_minima():
 def test_no_files(spark):
     none = spark.createDataFrame([], "path string, content string")
     assert token_windows.repeated_windows(token_windows.token_table(none), size=10, min_lines=1).count() == 0
+
+
+def test_files_that_are_too_many_to_send(spark, monkeypatch):
+    monkeypatch.setattr(token_windows, "SENT", 0)
+    df = spark.createDataFrame(files(5, [f"w{i}_" for i in range(300)]), "path string, content string")
+    want = duplicates.repeated(duplicates.windows(df, size=10, min_lines=2), size=10).select("path", "start", "start_line", "end_line").collect()
+    assert sorted(map(tuple, token_windows.repeated_windows(token_windows.token_table(df), size=10, min_lines=2).collect())) == sorted(map(tuple, want)) != []
