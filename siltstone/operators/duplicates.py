@@ -90,23 +90,37 @@ def files(merged: DataFrame) -> DataFrame:
     return merged.groupBy("path").agg(F.sum(F.expr("end_line - start_line + 1")).cast("long").alias("duplicate_lines"))
 
 
-def blocks(spans: DataFrame, held: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
-    """Token intervals with one text, at least two of them: key, lines, tokens,
-    occurrences, file and start_line of the first. Equal texts can span different numbers
-    of lines; those of the last occurrence count."""
+def keyed_spans(spans: DataFrame, held: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
+    """path, start, start_line, end_line, tokens, key of token intervals over at least
+    ``min_lines`` lines: equal keys, equal tokens."""
     wide = spans.where(F.col("end_line") - F.col("start_line") + 1 >= min_lines)
     cut = lambda c: F.slice(c, F.col("start") + 1, F.col("end") - F.col("start"))
     # A table of token hashes gives a key of two hashes over them.
     key, t = (F.array(F.xxhash64(cut("h")), F.xxhash64(F.lit(1), cut("h"))), "h") if "h" in held.columns else (F.md5(F.array_join(cut("t"), _SEP)), "t")
-    keyed = held.select("path", t).join(wide, "path").select("path", "start", "start_line", "end_line", (F.col("end") - F.col("start")).alias("tokens"), key.alias("key"))
+    return held.select("path", t).join(wide, "path").select("path", "start", "start_line", "end_line", (F.col("end") - F.col("start")).alias("tokens"), key.alias("key"))
+
+
+def blocks(spans: DataFrame, held: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
+    """Token intervals with one text, at least two of them: key, lines, tokens,
+    occurrences, file and start_line of the first. Equal texts can span different numbers
+    of lines; those of the last occurrence count."""
     place = F.struct("path", "start")
-    found = keyed.groupBy("key").agg(
+    found = keyed_spans(spans, held, min_lines=min_lines).groupBy("key").agg(
         F.max_by(F.col("end_line") - F.col("start_line") + 1, place).cast("long").alias("lines"), F.max("tokens").cast("long").alias("tokens"), F.count(F.lit(1)).alias("occurrences"),
         F.min_by("path", place).alias("path"), F.min_by("start_line", place).cast("long").alias("start_line"),
     )
     return found.where("occurrences >= 2")
 
 
+def occurrences(spans: DataFrame, held: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
+    """block, path, start_line, end_line of every occurrence of every block. A block is
+    named by the file and the token that its first occurrence starts at."""
+    keyed = keyed_spans(spans, held, min_lines=min_lines)
+    first = F.min(F.struct("path", "start"))
+    names = keyed.groupBy("key").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n >= 2").select("key", F.concat_ws(":", "f.path", "f.start").alias("block"))
+    return keyed.join(names, "key").select("block", "path", "start_line", "end_line")
+
+
 def top_blocks(found: DataFrame, *, listed: int = LISTED) -> DataFrame:
     """The ``listed`` blocks with the most lines, then occurrences (ties by file and
     line), and how many blocks are left out: a report. Both in one pass over the blocks."""

@@ -146,8 +146,8 @@ def _scalars(spark: SparkSession) -> DataFrame:
 
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the documents as files, in the form that the gate takes."""
-    counts = lines.classified(tables._files(spark, sf_dir))
-    loc = lines.line_summary(counts).join(lines.size_maxima(counts).drop("files"), F.lit(True)).join(tables.dup_summary(spark, sf_dir).drop("status"), F.lit(True))
+    counts, repeats = tables.measured(spark, sf_dir)
+    loc = lines.line_summary(counts).join(lines.size_maxima(counts).drop("files"), F.lit(True)).join(duplicates.summary(repeats).drop("status"), F.lit(True))
     which = [("loc", k) for k in ("files", "total_lines", "code_lines", "comment_lines", "blank_lines", "long_lines", "max_line_length_found")] + [("size", "max_lines_per_file"), ("size", "max_code_lines_per_file"), ("duplicates", "duplicate_lines"), ("duplicates", "files_with_duplicates")]
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("collector"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for c, m in which])).alias("x")
     return loc.select(each).select("x.*", F.lit("").alias("text"))

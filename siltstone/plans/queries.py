@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import duplicates, lines
-from siltstone.operators.token_windows import repeated_windows, token_table
+from siltstone.operators.intervals import lines_in
+from siltstone.operators.token_windows import measured_table, repeated_windows, token_table
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,13 @@ def _intervals(table: DataFrame) -> DataFrame:
     return duplicates.token_intervals(repeated_windows(table, size=duplicates.WINDOW, min_lines=duplicates.MIN_LINES))
 
 
+def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of each document as a file, and its intervals of duplicate lines: both from
+    one scan of the texts."""
+    table = measured_table(_files(spark, sf_dir))
+    return table.drop("row", "h", "l"), duplicates.line_intervals(_intervals(table))
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _intervals(_table(spark, sf_dir))
 
@@ -90,6 +98,14 @@ def dup_blocks_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.top_blocks(duplicates.blocks(_intervals(table), table), listed=10)
 
 
+def dup_block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every occurrence of a duplicate block."""
+    table = _table(spark, sf_dir)
+    found = duplicates.occurrences(_intervals(table), table)
+    each = lines.lines_of(_files(spark, sf_dir).select("path", "content")).select("path", "line_no", F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest"))
+    return lines_in(found, each).select("block", "path", F.col("line_no").cast("long").alias("line_no"), F.lower(F.hex("digest")).alias("digest"))
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return lines.classified(turns.select(F.concat_ws("/", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("content")))
@@ -105,7 +121,7 @@ def turn_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (loc_summary, loc_by_source_lang, long_line_details, long_line_files, file_sizes, size_file_violations, size_max, doc_tokens, dup_windows, dup_keys, dup_intervals, dup_lines, dup_files, dup_blocks_top, dup_summary, turn_sizes, turn_violations)
+    for f in (loc_summary, loc_by_source_lang, long_line_details, long_line_files, file_sizes, size_file_violations, size_max, doc_tokens, dup_windows, dup_keys, dup_intervals, dup_lines, dup_files, dup_blocks_top, dup_block_lines, dup_summary, turn_sizes, turn_violations)
 }
 
 _LINES = r"""
@@ -168,6 +184,8 @@ ORACLES: dict[str, str] = {
     "dup_lines": f"with {_DUP} select path, start_line, end_line from m",
     "dup_files": f"with {_DUP} select path, sum(end_line - start_line + 1)::bigint as duplicate_lines from m group by path",
     "dup_blocks_top": f"with {_DUP} select path, start_line::bigint as start_line, lines::bigint as lines, tokens::bigint as tokens, occurrences, greatest((select count(*) from bl) - 10, 0)::bigint as omitted from bl order by lines desc, occurrences desc, path, start_line, key limit 10",
+    "dup_block_lines": f"""with {_DUP} select b.name as block, a.path, x.line::bigint as line_no, md5(x.s) as digest from bo a join (select key, path || ':' || start as name from bo where i = 1 and c > 1) b on a.key = b.key
+        join x on x.path = a.path and x.line between a.start_line and a.end_line""",
     "dup_summary": f"with {_DUP} select coalesce(sum(end_line - start_line + 1), 0)::bigint as duplicate_lines, count(distinct path) as files_with_duplicates, case when count(*) > 0 then 'fail' else 'pass' end as status from m",
     "turn_sizes": f"with {_TURNS} select count(*) as turns, coalesce(max(total), 0)::bigint as max_lines, coalesce(max(longest), 0)::bigint as max_bytes from g",
     "turn_violations": _over("g", _TURNS, 1, 1),
