@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import duplicates, keyed_gate, lines, ratchet
 from siltstone.plans import queries as tables
+from siltstone.sources import metric_documents
 from siltstone.sources.tables import shared_dir, written
 
 KEYS = ("source", "lang")
@@ -96,7 +97,15 @@ def ratchet_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(*[F.col(f"r.{k}") for k in (*KEYS, "name")], "s.old_value", "s.new_value", "r.value", "s.change")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (gate_by_source, gate_tallies_by_source, ratchet_by_source)}
+def metrics_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each source, written as documents and read back."""
+    metrics = keyed_gate.unpivoted(line_metrics(lines.classified(tables._files(spark, sf_dir)), "source"), ["source"])
+    path = f"{shared_dir(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    metric_documents.write(metrics.select(F.col("source").alias("subject"), "collector", "metric", "value", F.lit(None).cast("string").alias("text")), path)
+    return metric_documents.read(spark, path).select(F.col("subject").alias("source"), "collector", "metric", "value")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (gate_by_source, gate_tallies_by_source, ratchet_by_source, metrics_round_trip)}
 
 _COUNTED = lambda by: f"""select {by}, count(*)::double as files, sum(total)::double as total_lines, case when sum(total) > 0 then floor(10000 * sum(long)::double / sum(total)) / 100 end as long_percent, max(longest)::double as longest,
     case when sum(total) > 0 then floor(10000 * sum(code)::double / sum(total)) / 100 end as code_percent, max(total)::double as max_lines, max(code)::double as max_code_lines, sum((total > {lines.MAX_FILE_LINES})::int + (code > {lines.MAX_CODE_LINES})::int)::double as violations from g group by {by}"""
@@ -128,6 +137,7 @@ ORACLES: dict[str, str] = {
     "gate_by_source": f"{_GATE} select * from gated",
     "gate_tallies_by_source": f"""{_GATE} select source, lang, case when sum(violations) = 0 then 'pass' else 'fail' end as gate_result, sum(violations)::bigint as violations, count(*) filter (outcome in ('passed', 'failed')) as collectors_run,
         count(*) filter (outcome = 'passed') as collectors_passed, count(*) filter (outcome = 'failed') as collectors_failed, count(*) filter (outcome = 'skipped') as collectors_skipped from gated group by source, lang""",
+    "metrics_round_trip": f"""with {tables._LINES}, wide as ({_COUNTED("source")}) {" union all ".join(f"select source, '{c}' as collector, '{k}' as metric, {k} as value from wide" for k, c in _OF.items())}""",
     "ratchet_by_source": f"""with {tables._LINES},{_CRC},
         halves as (select g.*, half from g join crc on g.path = 'doc/' || crc.doc_id),
         wide as ({_COUNTED("source, lang, half").replace("from g group", "from halves group")}),

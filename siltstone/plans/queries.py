@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import lossy
 from siltstone.operators import duplicates, lines
+from siltstone.operators.carry import carried
 from siltstone.operators.intervals import lines_in
 from siltstone.operators.token_windows import measured_table, repeated_windows, token_table
 
@@ -28,6 +30,12 @@ def long_line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.long_lines(_files(spark, sf_dir))
 
 
+def long_line_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each long line by its first and its last 100 bytes."""
+    each = lines.lines_of(_files(spark, sf_dir).select("path", "content")).where(F.octet_length("line") > lines.MAX_LINE)
+    return each.select("path", F.col("line_no").cast("long").alias("line_no"), lossy.first_bytes(F.col("line"), 100).alias("head"), lossy.last_bytes(F.col("line"), 100).alias("tail"))
+
+
 def long_line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.classified(_files(spark, sf_dir)).where("long > 0").select("path", F.col("long").alias("long_lines"))
 
@@ -119,9 +127,17 @@ def turn_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.size_violations(_turns(spark, sf_dir), max_lines=1, max_code=1)
 
 
+def turn_context(spark: SparkSession, sf_dir: str, *, block: int = 256) -> DataFrame:
+    """For each turn of an assistant the last system text and the last user text before."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = lambda role: F.when(F.col("role") == role, F.col("text"))
+    found = carried(turns, keys=["conv_id"], block=F.floor(F.col("turn") / block), order=[F.col("turn"), F.col("role"), F.col("text")], columns={"last_system": said("system"), "last_user": said("user")})
+    return found.where("role = 'assistant'").select("conv_id", "turn", "last_system", "last_user")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (loc_summary, loc_by_source_lang, long_line_details, long_line_files, file_sizes, size_file_violations, size_max, doc_tokens, dup_windows, dup_keys, dup_intervals, dup_lines, dup_files, dup_blocks_top, dup_block_lines, dup_summary, turn_sizes, turn_violations)
+    for f in (loc_summary, loc_by_source_lang, long_line_details, long_line_previews, long_line_files, file_sizes, size_file_violations, size_max, doc_tokens, dup_windows, dup_keys, dup_intervals, dup_lines, dup_files, dup_blocks_top, dup_block_lines, dup_summary, turn_sizes, turn_violations, turn_context)
 }
 
 _LINES = r"""
@@ -173,6 +189,9 @@ ORACLES: dict[str, str] = {
     "loc_summary": f"with {_LINES} select {_SUMS} from g",
     "loc_by_source_lang": f"with {_LINES} select source, lang, {_SUMS} from g group by source, lang",
     "long_line_details": f"with {_LINES} select path, line_no::bigint as line_no, n::bigint as length, 100::bigint as threshold, greatest((select count(*) from t where n > 100) - 200, 0)::bigint as omitted from t where n > 100 order by path, line_no limit 200",
+    "long_line_previews": f"""with {_LINES},
+        hl as (select path, line_no, line, list_max(list_filter(range(0, 101), lambda k: strlen(left(line, k::int)) <= 100)) as h, list_max(list_filter(range(0, 101), lambda k: strlen(right(line, k::int)) <= 100)) as l from t where n > 100)
+        select path, line_no::bigint as line_no, left(line, h::int) || case when strlen(left(line, h::int)) < 100 then chr(65533) else '' end as head, repeat(chr(65533), (100 - strlen(right(line, l::int)))::int) || right(line, l::int) as tail from hl""",
     "long_line_files": f"with {_LINES} select path, long as long_lines from g where long > 0",
     "file_sizes": f"with {_LINES} select path, total as total_lines, code as code_lines from g",
     "size_file_violations": _over("g", _LINES, 40, 30),
@@ -189,4 +208,6 @@ ORACLES: dict[str, str] = {
     "dup_summary": f"with {_DUP} select coalesce(sum(end_line - start_line + 1), 0)::bigint as duplicate_lines, count(distinct path) as files_with_duplicates, case when count(*) > 0 then 'fail' else 'pass' end as status from m",
     "turn_sizes": f"with {_TURNS} select count(*) as turns, coalesce(max(total), 0)::bigint as max_lines, coalesce(max(longest), 0)::bigint as max_bytes from g",
     "turn_violations": _over("g", _TURNS, 1, 1),
+    "turn_context": """with s as (select conv_id, turn, role, last_value(case when role = 'system' then coalesce(text, '') end ignore nulls) over w as last_system, last_value(case when role = 'user' then coalesce(text, '') end ignore nulls) over w as last_user
+        from conversations window w as (partition by conv_id order by turn nulls first, role nulls first, coalesce(text, '') rows between unbounded preceding and 1 preceding)) select conv_id, turn, last_system, last_user from s where role = 'assistant'""",
 }
