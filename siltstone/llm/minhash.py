@@ -145,14 +145,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     * rows with equal sets are one document for the search, however many they are;
       a repeated id is one node for each of its sets; null ids get component_id null and
       are kept, and link nothing that has an id by themselves
+    * ids are of any type that has an order; carried columns may have any names
     * an empty table gives an empty result; other columns are ignored
 
     Each table's members are checked against one of them, and components are formed, so
     a large group of copies costs a check or two for each of its members. The members of
     tables that still hold several components are searched by their rarest shingles.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, text string" + carried(docs, carry)
+    given, carry = carry, tuple(f"carried_{i}" for i in range(len(carry)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for c, k in zip(given, carry, strict=True)])
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, d1 long, d2 long, halves array<long>, text string" + carried(rows, carry)
     signed = materialise(map_arrow(rows, _signatures(shingle, fan, width), schema), "minhash-sets")
     # A node is a distinct set (by its size and a digest of 128 bits), numbered when it is
     # written; not an id, so that repeated ids with different texts stay apart. Sets are
@@ -197,4 +199,4 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     discard(classes, open_, more, groups)
     out = signed.select("doc_id", *named, *carry).join(placed, named, "left")
     comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept"), *carry)
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept"), *[F.col(k).alias(c) for c, k in zip(given, carry, strict=True)])

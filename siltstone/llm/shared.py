@@ -2,70 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import dropped, written
+
 #: A word is a run of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` if it is
-    set, else (tests, local mode only) a folder of our own, which is then set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: the driver and the executors need a shared folder")
-        where = tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where
-
-
-#: Tables written within ``written_tables``, innermost last.
-_SCOPES: list[list[DataFrame]] = []
+#: Lists of the tables written within ``written_tables``, innermost last.
+_SCOPES: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def written_tables() -> Iterator[list[DataFrame]]:
     """A list of all tables that ``materialise`` writes within the block, so that they can
     be deleted when what is made from them has been written."""
-    _SCOPES.append([])
+    own: list[DataFrame] = []
+    before = _SCOPES.set((*_SCOPES.get(), own))
     try:
-        yield _SCOPES[-1]
+        yield own
     finally:
-        _SCOPES.pop()
+        _SCOPES.reset(before)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back. What follows then depends
     on files that outlive any executor, not on shuffle files or cached blocks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found._written = path
-    if _SCOPES:
-        _SCOPES[-1].append(found)
+    found = written(df, name)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(found)
     return found
 
 
 def discard(*tables: DataFrame, collect: bool = True) -> None:
     """Delete tables that ``materialise`` wrote and nothing reads any more, and let Spark
     clear the shuffle files of finished jobs (it does so when the driver collects)."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._written)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    dropped(*tables)
     if tables and collect:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
@@ -86,6 +65,6 @@ def carried(docs: DataFrame, carry: tuple[str, ...]) -> str:
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with batches of few rows: texts are long, and a worker holds a batch."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """mapInArrow. Texts are long, and a worker holds a batch: Spark ends batches at
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless it is set otherwise)."""
     return df.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
 
 import corpus_pipeline
 from siltstone.llm import oracles
@@ -32,8 +33,10 @@ def after(spark, stage, rows, sf_dir=""):
     return Counter(tuple(x) for x in out.collect())
 
 
-def least(ids):
-    return min((i for i in ids if i is not None), default=None)
+def firsts(rows, groups):
+    """(id, text) of the row that stays of each group: the least id, null last."""
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    return Counter(rows[min(g, key=order)][:1] for g in groups)
 
 
 def test_rules_judge_rows(spark, tmp_path):
@@ -47,24 +50,60 @@ def test_rules_judge_rows(spark, tmp_path):
     assert after(spark, corpus_pipeline.rules, rows, str(tmp_path)) == Counter(x for x in rows if not poor(x[1]))
 
 
-def test_exact_judges_rows(spark):
+def test_exact_leaves_one_of_each(spark):
     rows = table(2) + [(8, "same text", "en", "web", 9), (None, "same  text", "en", "web", 10), (9, "same text", "en", "web", 9), (9, "other", "en", "web", 5)]
-    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x[1] or "")
-    first = {k: least([x[0] for x in rows if norm(x) == k]) for k in map(norm, rows)}
-    assert after(spark, corpus_pipeline.exact, rows) == Counter(x for x in rows if x[0] == first[norm(x)])
+    rows += [(None, "no ids", "en", "web", 6)] * 3 + [(70, "one id", "en", "web", 6)] * 4
+    groups = {}
+    for i, x in enumerate(rows):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", x[1] or ""), []).append(i)
+    got = after(spark, corpus_pipeline.exact, rows)
+    assert set(got) <= set(rows) and Counter(x[:1] for x in got.elements()) == firsts(rows, groups.values())
+    assert Counter(re.sub(r"[\x20\x09-\x0D]+", " ", x[1] or "") for x in got.elements()) == Counter(groups.keys())
 
 
-def test_near_judges_rows(spark):
-    rows = table(3)
+def test_near_leaves_one_of_each(spark):
+    rows = table(3) + [(None, " ".join(f"n{i}" for i in range(30)), "en", "web", 6)] * 3 + [(70, " ".join(f"m{i}" for i in range(30)), "en", "web", 6)] * 4
     sets = [shingles(x[1], 5) for x in rows]
     root = list(range(len(rows)))
     for i, s in enumerate(sets):
         for j, t in enumerate(sets[:i]):
             if s and t and 100 * len(s & t) >= 80 * len(s | t):
                 root = [root[j] if k == root[i] else k for k in root]
-    want = Counter(x for i, x in enumerate(rows) if not sets[i] or x[0] is None or x[0] == least([y[0] for k, y in enumerate(rows) if root[k] == root[i]]))
-    assert sum(want.values()) < len(rows)
-    assert after(spark, corpus_pipeline.near, rows) == want
+    groups = {}
+    for i, k in enumerate(root):
+        groups.setdefault(k, []).append(i)
+    got = after(spark, corpus_pipeline.near, rows)
+    assert set(got) <= set(rows) and sum(got.values()) == len(groups) < len(rows)
+    assert Counter(x[:1] for x in got.elements()) == firsts(rows, groups.values())
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mix])
+def test_stages_run_side_by_side(spark, stage):
+    some, more = table(5), table(6)
+    alone = [after(spark, stage, x) for x in (some, more)]
+    a = stage(spark, spark.createDataFrame(some, SCHEMA), "")
+    b = stage(spark, spark.createDataFrame(more, SCHEMA), "")
+    corpus_pipeline.mix(spark, b, "")
+    ids = lambda df: Counter(x.doc_id for x in df.collect())
+    assert [ids(a), ids(b)] == [Counter(x[0] for x in w.elements()) for w in alone]
+
+
+def test_run(spark, tmp_path):
+    rows = [(*x[:4], 0) for x in table(7)] + [(100 + i, " ".join(f"d{i}_{k}" for k in range(40 + i)), "en", "web", 0) for i in range(30)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, work in corpus_pipeline.STAGES[:-1]:
+        docs = work(spark, docs, str(tmp_path))
+    kept = Counter(x.doc_id for x in docs.collect())
+    assert Counter(p.doc_id for p in pieces if p.start == 0) == kept and len(kept) > 20
+    tokens = Counter()
+    for p in pieces:
+        tokens[p.doc_id, p.doc_tokens] += p.length
+    assert all(n % size == 0 for (_, size), n in tokens.items())
+    again = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((p.doc_id, p.doc_tokens) for p in again if p.start == 0) == Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0)
 
 
 def test_mix_takes_rows(spark, tmp_path):
