@@ -1,8 +1,10 @@
 """The corpus pipeline: rules, exact and near copies, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a table; each is written and read
-again before the next one starts. So a stage begins by deleting what the one before it
-left in the shared folder.
+again before the next one starts. What a stage returns depends on the documents that it
+was given and on a small table of verdicts, which stays in the shared folder (``run``
+deletes it); all else that the stage wrote is deleted before it returns. So the tables of
+one run never depend on those of another.
 
 All stages: null texts count as empty; null and repeated ids are rows of their own; an
 empty table gives an empty result; columns other than those of documents are dropped.
@@ -11,8 +13,8 @@ empty table gives an empty result; columns other than those of documents are dro
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, wraps
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,73 +22,69 @@ from siltstone.llm import exact_dedup, minhash, mixing, packing, quality
 from siltstone.llm.shared import discard, documents, materialise, written_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Where a row lies: the file (a hash of its path) and the place in it.
+PLACE = ["file", "at"]
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """The documents with the place of each row, and ``key``: an order of rows by id (null
+    last), then content, then place, so that only rows that are the same in all columns
+    are told apart by where they lie. Places are those of the files that the documents are read from, so
+    they are the same however often these are read; a table that isn't read from files
+    is written first."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = materialise(docs, "pipeline-documents")
+    where = docs.select(*COLUMNS, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return where.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("content"), *PLACE))
+
+
+def one_of_each(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The documents less the rows that ``judge`` doesn't keep. It sees keys as ids."""
+    docs = placed(docs)
+    with written_tables() as own:
+        verdicts = judge(docs).where("not kept").select("doc_id.file", "doc_id.at")
+    gone = materialise(verdicts, f"pipeline-{name}-gone")
+    discard(*own)
+    return docs.join(gone, PLACE, "left_anti").select(*COLUMNS)
 
 
-_LEFT: list[DataFrame] = []
-
-
-def stage(work: Callable, *, last: bool = False) -> Callable:
-    """A stage that deletes the tables of the stage before, and remembers its own. The
-    result of the last one is read by whoever asked for it, no one knows when: its tables
-    stay."""
-
-    @wraps(work)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        old = [t for t in _LEFT if t.sparkSession.sparkContext is spark.sparkContext]
-        _LEFT.clear()
-        discard(*old)
-        with written_tables() as own:
-            out = work(spark, docs, sf_dir)
-        _LEFT.extend([] if last else own)
-        return out
-
-    return run_stage
-
-
-def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The documents with a key of their own for each row, ``row``: ids can be null or
-    repeated. It is written, so that it stays the same however often it is read."""
-    return materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), f"pipeline-{name}-rows")
-
-
-def kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of a keyed table that a table of verdicts does not reject."""
-    return docs.join(judged.where("not kept").select("row"), "row", "left_anti").select(*COLUMNS)
-
-
-@stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned list reject go."""
-    labels, docs = spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed(docs, "rules")
-    return kept(docs, quality.apply_rules(quality.statistics(docs, carry=("row",)), quality.fit(docs, labels)))
+    """Documents that the base rules or the learned list reject go: rows are judged as
+    they are read."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    whole = docs.select("doc_id", "text", F.col("text").alias("body"), "lang", "source", "n_chars")
+    judged = quality.apply_rules(quality.statistics(whole, carry=("body", "lang", "source", "n_chars")), quality.fit(docs, labels))
+    return judged.where("kept").withColumnRenamed("body", "text").select(*COLUMNS)
 
 
-@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of equal texts stays."""
-    docs = keyed(docs, "exact")
-    return kept(docs, exact_dedup.exact_dedup(docs, carry=("row",)))
+    """One document of each group of equal texts stays: the one with the least id (null
+    last), and of rows with that id the first in the order of a hash of their content."""
+    return one_of_each(docs, lambda d: exact_dedup.exact_dedup(d, id_col="key"), "exact")
 
 
-@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8) stays."""
-    docs = keyed(docs, "near")
-    return kept(docs, minhash.near_duplicates(docs, carry=("row",)))
+    """One document of each group of near copies (five words, 0.8) stays, chosen as for
+    equal texts. Texts without words are no copies."""
+    return one_of_each(docs, lambda d: minhash.near_duplicates(d, id_col="key"), "near")
 
 
-@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    docs = keyed(docs, "mix")
-    epochs = mixing.fair_mix(docs, carry=("row",)).where("epochs > 0").select("row", "epochs")
+    docs = placed(docs)
+    with written_tables() as own:
+        taken = mixing.fair_mix(docs, carry=tuple(PLACE)).where("epochs > 0").select(*PLACE, "epochs")
+    epochs = materialise(taken, "pipeline-mix-epochs")
+    discard(*own)
     times = F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))
-    return docs.join(epochs, "row").withColumn("epoch", times).select(*COLUMNS)
+    return docs.join(epochs, PLACE).withColumn("epoch", times).select(*COLUMNS)
 
 
-@partial(stage, last=True)
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
+    """Pieces of the packed sequences. Which sequence a piece goes to follows the order in
+    which the documents lie in their files; another order can cut them elsewhere."""
     import public_tokenizers
 
     return packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
@@ -101,7 +99,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = documents(spark, sf_dir), []
     for name, work in STAGES[:-1]:
-        docs = materialise(work(spark, docs, sf_dir), f"pipeline-{name}")
-        discard(*before, collect=False)
+        with written_tables() as own:
+            out = work(spark, docs, sf_dir)
+        docs = materialise(out, f"pipeline-{name}")
+        discard(*before, *own, collect=False)
         before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
