@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Rows of a batch that a Python worker gets while a table is written: texts are long, and
+#: the worker and the JVM hold a batch each, several times.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def _option(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """An option of the session for as long as the block runs."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back: what follows depends on files that outlive any
     executor, and reads each column on its own."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _option(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+        df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._written = path
     return found
