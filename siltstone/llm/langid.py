@@ -16,35 +16,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import map_arrow
+from siltstone.llm.shared import discard, map_arrow, materialise
 from siltstone.llm.textscan import Chunk, chunks, mix
 
-#: Documents that the model is learned from, at most (by turns from each label, those with
-#: the least hashes first); words of each, at most, in pieces spread over its whole length,
-#: and bytes of a piece, at most; and words in the lexicon, at most (the most frequent of
-#: the sample). So the driver holds at most 1,000 x 2 x 8 kB of text.
-TRAINING_DOCS, PIECES, PIECE_WORDS, PIECE_BYTES, LEXICON = 1000, 2, 192, 8192, 50_000
-#: Weights of n-grams; n-grams share them by a hash.
-BUCKETS = 1 << 16
+#: Documents that the model is learned from, at most: by turns from each label, those with
+#: the least hashes first. Their whole texts are used.
+TRAINING_DOCS = 1500
+#: Shards that learn side by side, rounds after which their weights are averaged, and
+#: passes over the words of a shard in each round.
+SHARDS, ROUNDS, EPOCHS = 8, 3, 5
+#: Weights of n-grams, and of whole words (the lexicon); features share them by a hash.
+BUCKETS, WORDS = 1 << 16, 1 << 17
 ORDERS = (1, 2, 3, 4)
-#: Words in a training segment, passes over them, and segments in a step of a pass.
-SEGMENT, EPOCHS, STEP = 256, 25, 256
-#: Features whose weights are summed at a time.
-BLOCK = 1 << 18
+#: Words in a training segment, and segments in a step of a pass.
+SEGMENT, STEP = 256, 256
+#: Features whose weights are summed at a time, and that travel in one row.
+BLOCK, ROWS = 1 << 18, 1 << 13
+#: Bytes of a training text that are worked on at a time: longer ones are cut at a space.
+PIECE = 1 << 20
 
 
 @dataclass
 class Model:
     labels: list[str]
-    weights: np.ndarray  # (BUCKETS + lexicon + 1, labels)
-    lexicon: np.ndarray  # sorted word hashes
+    weights: np.ndarray  # (BUCKETS + WORDS, labels)
     moves: np.ndarray  # log potentials, label before x label
 
-    def __reduce__(self):
-        return Model, (self.labels, self.weights.astype(np.float32), self.lexicon, self.moves)
 
-
-def _features(c: Chunk, place: np.ndarray, hashes: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _features(c: Chunk, place: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of distinct words (given by the place of one token each): feature
     numbers, and the bounds of each word's."""
     start, size = c.start[place], c.end[place] - c.start[place]
@@ -65,10 +64,8 @@ def _features(c: Chunk, place: np.ndarray, hashes: np.ndarray, lexicon: np.ndarr
             rolled = rolled * np.uint64(257) + text[at + k]
         found.append((mix(rolled) % np.uint64(BUCKETS)).astype(np.int64))
         owners.append(np.repeat(np.arange(len(size)), many))
-    spot = np.searchsorted(lexicon, hashes)
-    known = np.flatnonzero(lexicon[np.minimum(spot, len(lexicon) - 1)] == hashes) if len(lexicon) else np.zeros(0, np.int64)
-    found.append(BUCKETS + spot[known])
-    owners.append(known)
+    found.append(BUCKETS + (hashes % np.uint64(WORDS)).astype(np.int64))
+    owners.append(np.arange(len(size)))
     flat, owner = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return flat[order], np.searchsorted(owner[order], np.arange(len(size) + 1))
@@ -115,86 +112,160 @@ def marginals(scores: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple
     return both / both.sum(axis=1, keepdims=True), expected
 
 
-def learn(texts: list[str], langs: list[str], *, lexicon: int = LEXICON, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-5, seed: int = 11) -> Model:
-    """Fit weights and transitions by the gradient of the likelihood. Texts are joined in
-    random order and cut in segments, so that some segments switch label. Marginals and
-    features are held for a step's or a block's words only."""
-    labels = sorted(set(langs))
-    order = np.random.default_rng(seed).permutation(len(texts))
-    column = pa.array([texts[i] for i in order], pa.string())
-    (_, _, c), = chunks(column, limit=1 << 62)
-    u, place, local, times = np.unique(c.hashes(), return_index=True, return_inverse=True, return_counts=True)
-    names = np.sort(u[np.argsort(-times, kind="stable")[:lexicon]][:])
-    flat, bounds = _features(c, place, u, names)
-    flat = flat.astype(np.int32)
-    truth = np.repeat([labels.index(langs[i]) for i in order], np.diff(c.first))
-    del c, place, times
-    first = np.append(np.arange(0, len(local), SEGMENT), len(local))
-    weights = np.zeros((BUCKETS + len(names) + 1, len(labels)), np.float32)
-    moves = np.zeros((len(labels), len(labels)))
-    wg, mg = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
-    seen = np.zeros_like(moves)
-    inside = np.ones(len(local), bool)
-    inside[first[:-1]] = False
-    at = np.flatnonzero(inside)
-    np.add.at(seen, (truth[at - 1], truth[at]), 1)
-    many = np.diff(bounds)
-    for _ in range(epochs):
-        scores = _emissions(weights, flat, bounds)
-        words, expected = np.zeros((len(u), len(labels))), np.zeros_like(moves)
-        for a in range(0, len(first) - 1, STEP):
-            own = first[a : a + STEP + 1]
-            mine = local[own[0] : own[-1]]
-            p, e = marginals(scores[mine].astype(np.float64), moves, own - own[0])
-            expected += e
-            p[np.arange(len(p)), truth[own[0] : own[-1]]] -= 1
-            for k in range(len(labels)):
-                words[:, k] += np.bincount(mine, p[:, k], len(u))
-        for k in range(len(labels)):
-            g = np.bincount(flat, np.repeat(words[:, k], many), len(weights)) / max(1, len(local)) + decay * weights[:, k]
-            wg[:, k] += g * g
-            weights[:, k] -= rate * g / np.sqrt(wg[:, k])
-        d = (expected - seen) / max(1, len(local)) + decay * moves
-        mg += d * d
-        moves -= rate * d / np.sqrt(mg)
-    return Model(labels, weights, names, moves)
-
-
-def _pieces(many: int, words: int, most: int):
-    """Up to ``many`` pieces of up to ``words`` words of each text, the first from its
-    start, the last up to its end."""
+@dataclass
+class _Part:
+    """Words of some training texts, joined and cut in segments."""
+
+    flat: np.ndarray  # features of the distinct words
+    bounds: np.ndarray  # of each distinct word's
+    local: np.ndarray  # the distinct word of each word
+    truth: np.ndarray  # its label
+    first: np.ndarray  # bounds of the segments
+
+
+def _cut(text: bytes) -> list[bytes]:
+    """A text in pieces of at most ``PIECE`` bytes, between words where there is a space."""
+    out, lo = [], 0
+    while len(text) - lo > PIECE:
+        hi = max(text.rfind(b" ", lo, lo + PIECE), text.rfind(b"\n", lo, lo + PIECE))
+        hi = hi if hi > lo else lo + PIECE
+        out.append(text[lo:hi])
+        lo = hi
+    return [*out, text[lo:]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, c in chunks(batch.column(2)):
-                out: list[list[bytes]] = []
-                for a, b in zip(c.first[:-1], c.first[1:], strict=True):
-                    spots = [a] if b - a <= words else np.unique(np.linspace(a, b - words, many if b - a >= many * words else max(1, many - 1)).astype(int))
-                    held = []
-                    for i in spots:
-                        # A piece ends before the word that would make it too long.
-                        n = int(np.searchsorted(c.end[i : min(i + words, b)], c.start[i] + most, "right")) if b > a else 0
-                        if n:
-                            held.append(c.raw[c.start[i] : c.end[i + n - 1]].tobytes())
-                    out.append(held)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(out, pa.list_(pa.binary()))], ["h", "l", "pieces"])
+
+def _parts(texts: list[bytes], truth: list[int]) -> list[_Part]:
+    pieces = [(p, y) for t, y in zip(texts, truth, strict=True) for p in _cut(t)]
+    labels, found = np.array([y for _, y in pieces]), []
+    for lo, hi, c in chunks(pa.array([p for p, _ in pieces], pa.large_binary()), limit=PIECE):
+        u, place, local = np.unique(c.hashes(), return_index=True, return_inverse=True)
+        if len(u):
+            flat, bounds = _features(c, place, u)
+            found.append(_Part(flat.astype(np.int32), bounds, local.astype(np.int32), np.repeat(labels[lo:hi], np.diff(c.first)), np.append(np.arange(0, len(local), SEGMENT), len(local))))
+    return found
+
+
+def _descend(parts: list[_Part], model: Model, squares: tuple[np.ndarray, np.ndarray], *, epochs: int, rate: float = 0.3, decay: float = 1e-5) -> int:
+    """Passes of gradient descent on the likelihood of the parts, in place: steps are
+    scaled by the sums of squared gradients so far. Returns the number of words."""
+    weights, moves, (wg, mg) = model.weights, model.moves, squares
+    labels, total = len(model.labels), sum(len(p.local) for p in parts)
+    seen = np.zeros_like(moves)
+    for p in parts:
+        inside = np.ones(len(p.local), bool)
+        inside[p.first[:-1]] = False
+        at = np.flatnonzero(inside)
+        np.add.at(seen, (p.truth[at - 1], p.truth[at]), 1)
+    for _ in range(epochs if total else 0):
+        gradient, expected = np.zeros(weights.shape), np.zeros_like(moves)
+        for p in parts:
+            scores, words = _emissions(weights, p.flat, p.bounds), np.zeros((len(p.bounds) - 1, labels))
+            for a in range(0, len(p.first) - 1, STEP):
+                own = p.first[a : a + STEP + 1]
+                mine = p.local[own[0] : own[-1]]
+                q, e = marginals(scores[mine].astype(np.float64), moves, own - own[0])
+                expected += e
+                q[np.arange(len(q)), p.truth[own[0] : own[-1]]] -= 1
+                for k in range(labels):
+                    words[:, k] += np.bincount(mine, q[:, k], len(words))
+            many = np.diff(p.bounds)
+            for k in range(labels):
+                gradient[:, k] += np.bincount(p.flat, np.repeat(words[:, k], many), len(weights))
+        for x, g, s in ((weights, gradient, wg), (moves, expected - seen, mg)):
+            g = g / total + decay * x
+            s += g * g
+            x -= (rate * g / np.sqrt(s)).astype(x.dtype)
+    return total
+
+
+def _empty(labels: list[str]) -> tuple[Model, tuple[np.ndarray, np.ndarray]]:
+    model = Model(labels, np.zeros((BUCKETS + WORDS, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
+    return model, (np.full_like(model.weights, 1e-6), np.full_like(model.moves, 1e-6))
+
+
+_LEARNED = "block int, words double, weights binary, squares binary"
+
+
+def _shard(model: Model, squares: tuple[np.ndarray, np.ndarray], epochs: int, seed: int):
+    """One shard's passes from the common weights: rows of blocks of weights and squares,
+    times its words, with the transitions as block -1. Texts are joined in random order
+    and cut in segments, so that some segments switch label."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        order = np.random.default_rng(seed).permutation(len(table))
+        texts, langs = table.column("t").to_pylist(), table.column("l").to_pylist()
+        own = Model(model.labels, model.weights.copy(), model.moves.copy())
+        sums = squares[0].copy(), squares[1].copy()
+        n = float(_descend(_parts([texts[i] for i in order], [model.labels.index(langs[i]) for i in order]), own, sums, epochs=epochs))
+        rows = [(-1, own.moves, sums[1])] + [(i, own.weights[k : k + ROWS], sums[0][k : k + ROWS]) for i, k in enumerate(range(0, len(own.weights), ROWS))]
+        packed = [[(x.astype(np.float64) * n).tobytes() for x in column] for column in list(zip(*rows, strict=True))[1:]]
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "words": pa.array([n] * len(rows)), "weights": pa.array(packed[0], pa.binary()), "squares": pa.array(packed[1], pa.binary())})
 
     return run
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_DOCS, pieces: int = PIECES, words: int = PIECE_WORDS, **options) -> Model | None:
-    """Learn from pieces of at most ``rows`` documents with a letter in the text and a
-    label. None if there are none. Labels take turns, each with the document of the least
-    hash that it has left; so every label is learned, unless there are more labels than
-    ``rows``. Hashes choose the documents; texts are only read for the chosen."""
-    text = F.col(text_col).cast("string")
-    known = docs.where(text.rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.xxhash64(F.col(id_col), text).alias("h"), F.col(lang_col).cast("string").alias("l"), text.alias("t"))
+def _averaged(table: pa.Table) -> pa.Table:
+    """The mean of a block over the shards, each by its words."""
+    n = sum(table.column("words").to_pylist())
+    mean = lambda name: (sum(np.frombuffer(x, np.float64) for x in sorted(table.column(name).to_pylist())) / max(n, 1.0)).tobytes()
+    return pa.table({"block": table.column("block").slice(0, 1), "words": pa.array([n]), "weights": pa.array([mean("weights")], pa.binary()), "squares": pa.array([mean("squares")], pa.binary())})
+
+
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many documents each label gives if labels take turns until ``rows`` are taken."""
+    found, left = dict.fromkeys(counts, 0), rows
+    open_ = sorted(counts)
+    while left > 0 and open_:
+        share = max(1, left // len(open_))
+        for k in open_[:left] if share == 1 else open_:
+            more = min(share, counts[k] - found[k])
+            found[k] += more
+            left -= more
+        open_ = [k for k in open_ if counts[k] > found[k]]
+    return found
+
+
+def training_set(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_DOCS) -> DataFrame:
+    """h, l, t of the documents to learn from: of each label those with the least hashes.
+
+    Labels are counted first; a threshold on the hash then leaves some more than twice
+    what a label gives, which are ranked. So what is moved and ranked has the size of the
+    result, however many documents or tasks there are. With more labels than ``rows``,
+    those with the most documents are learned."""
+    spark, text = docs.sparkSession, F.col(text_col).cast("string")
+    known = docs.where(text.rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.xxhash64(F.col(id_col), text).alias("h"), F.col(lang_col).cast("string").alias("l"), text.cast("binary").alias("t"))
+    counts = {r.l: r.n for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "l").limit(rows).collect()}
+    limits = [(k, q, min((1 << 63) - 1, int((2 * q + 50) / counts[k] * (1 << 64)) - (1 << 63))) for k, q in quotas(counts, rows).items()]
+    # At most ``rows`` labels, with two numbers each.
+    least = F.broadcast(spark.createDataFrame(limits, "l string, quota int, most long"))
+    near = known.join(least, "l").where("h <= most").groupBy("h", "l", "quota").agg(F.any_value("t").alias("t"))
     turn = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    chosen = known.select("h", "l").withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("turn", "h", "l").limit(rows).select("h", "l").distinct()
-    found = map_arrow(known.join(F.broadcast(chosen), ["h", "l"]), _pieces(pieces, words, PIECE_BYTES), "h long, l string, pieces array<binary>")
-    taken = sorted(found.dropDuplicates(["h", "l"]).collect(), key=lambda r: (r.h, r.l))
-    said = [(p.decode("utf-8", "replace"), r.l) for r in taken for p in r.pieces]
-    return learn([t for t, _ in said], [k for _, k in said], **options) if said else None
+    return near.withColumn("turn", turn).where("turn <= quota").select("h", "l", "t")
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_DOCS, shards: int = SHARDS, rounds: int = ROUNDS, epochs: int = EPOCHS, seed: int = 11) -> Model | None:
+    """Learn from the whole texts of at most ``rows`` documents with a letter in the text
+    and a label. None if there are none.
+
+    The documents are dealt to shards by their hashes. In each round every shard goes on
+    from the common weights, and the weights are averaged (iterative parameter mixing),
+    so that texts stay with the tasks and the driver holds one set of weights."""
+    taken = materialise(training_set(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, rows=rows), "langid-training")
+    labels = sorted(r.l for r in taken.select("l").distinct().collect())
+    if not labels:
+        discard(taken)
+        return None
+    model, squares = _empty(labels)
+    dealt = taken.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)))
+    for turn in range(rounds):
+        parts = dealt.groupBy("shard").applyInArrow(_shard(model, squares, epochs, seed + turn), _LEARNED)
+        for r in parts.groupBy("block").applyInArrow(_averaged, _LEARNED).toLocalIterator():
+            at = slice(r.block * ROWS, (r.block + 1) * ROWS)
+            for target, raw in zip((model.moves, squares[1]) if r.block < 0 else (model.weights[at], squares[0][at]), (r.weights, r.squares), strict=True):
+                target[...] = np.frombuffer(raw, np.float64).reshape(target.shape)
+    discard(taken)
+    return model
 
 
 _RUNS = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
@@ -209,7 +280,7 @@ def _predict(model: Model):
                 share, switches = np.zeros((n, len(model.labels))), np.zeros(n, np.int64)
                 runs: list[list] = [[]] * n
                 if len(u):
-                    p, _ = marginals(_emissions(model.weights, *_features(c, place, u, model.lexicon))[local].astype(np.float64), model.moves, c.first)
+                    p, _ = marginals(_emissions(model.weights, *_features(c, place, u))[local].astype(np.float64), model.moves, c.first)
                     size = np.diff(c.first)
                     held = np.flatnonzero(size)
                     # Sums of each text alone, rounded: equal texts have equal scores.

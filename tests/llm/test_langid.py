@@ -47,7 +47,7 @@ def test_long_tied_and_repeated(spark):
     rows = [(i, "the sh ing " * 40 if i % 2 else "eau ou la " * 40, "aa" if i % 2 else "bb", 0) for i in range(40)]
     rows += [(1, rows[1][1], "aa", 0)] * 30 + [(77, "x" * 50_000 + " the sh", "aa", 0), (78, "é " * 60_000, "bb", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    model = langid.fit(docs, rows=44, words=16)
+    model = langid.fit(docs, rows=44)
     assert model.labels == ["aa", "bb"]
     got = [tuple(r)[:4] for r in langid.identify(docs, model).collect()]
     assert len(got) == len(rows) and len({g for g in got if g[0] == 1}) == 1
@@ -55,11 +55,45 @@ def test_long_tied_and_repeated(spark):
     assert langid.fit(docs.where("lang is null")) is None
 
 
-def test_pieces_reach_both_ends():
-    import pyarrow as pa
+def test_whole_texts_are_learned_from(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 100)
+    text = " ".join(f"w{i}" for i in range(1000)).encode()
+    assert b"".join(langid._cut(text)) == text and all(len(p) <= 100 for p in langid._cut(text))
+    assert b"".join(langid._cut(b"x" * 950)) == b"x" * 950
+    parts = langid._parts([text, b"", b"a b"], [0, 1, 1])
+    assert sum(len(p.local) for p in parts) == 1002 and sum(int(p.truth.sum()) for p in parts) == 2
 
-    text = " ".join(f"w{i}" for i in range(1000))
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a"] * 3), pa.array([text, None, "x" * 99])], ["h", "l", "t"])
-    (out,) = langid._pieces(2, 10, 50)(iter([batch]))
-    held = out.column(2).to_pylist()
-    assert held[0][0].startswith(b"w0 w1") and held[0][1].endswith(b"w999") and held[1] == held[2] == []
+
+def test_gradient_against_differences():
+    texts, truth = [b"ab cd ab", b"ef gh", b"ab gh cd ef"], [0, 1, 0]
+    parts = langid._parts(texts, truth)
+    model, squares = langid._empty(["x", "y"])
+    r = np.random.default_rng(3)
+    model.moves[:] = r.normal(size=(2, 2))
+
+    def loss(moves):
+        total = 0.0
+        for p in parts:
+            s = langid._emissions(model.weights, p.flat, p.bounds)[p.local].astype(float)
+            score = lambda y: sum(s[i, k] for i, k in enumerate(y)) + sum(moves[a, b] for a, b in itertools.pairwise(y))
+            total += np.log(sum(np.exp(score(y)) for y in itertools.product(range(2), repeat=len(p.local)))) - score(p.truth)
+        return total / sum(len(p.local) for p in parts)
+
+    before = model.moves.copy()
+    want = np.array([[(loss(before + d) - loss(before - d)) / 2e-5 for d in (1e-5 * (np.arange(4).reshape(2, 2) == 2 * i + j) for j in range(2))] for i in range(2)])
+    assert langid._descend(parts, model, squares, epochs=1, rate=1.0, decay=0.0) == 9
+    got = (before - model.moves) * np.sqrt(squares[1])
+    assert np.allclose(got, want, atol=1e-5) and model.weights.any()
+
+
+def test_quotas_and_choice(spark):
+    assert langid.quotas({"a": 100, "b": 2, "c": 5}, 30) == {"a": 23, "b": 2, "c": 5}
+    assert langid.quotas({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0} and langid.quotas({}, 5) == {}
+    rows = [(i, f"word{i} text", "abc"[i % 3]) for i in range(600)] + [(1, "word1 text", "b")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for parts in (1, 7):
+        got = langid.training_set(df.repartition(parts), rows=60).collect()
+        if parts == 1:
+            want = sorted((x.h, x.l) for x in got)
+        assert sorted((x.h, x.l) for x in got) == want and len(set(want)) == 60
+    assert all(sum(x.l == k for x in got) == 20 for k in "abc")
