@@ -1,9 +1,10 @@
 """Chat formatting in budgeted, turn-aligned windows, in DataFrame functions only.
 
 Prefix sums of turn tokens place every turn in a window on its own: a window holds the
-turns whose tokens lie in one span of ``stride`` tokens, and a turn that reaches over
-the end of a span is a window by itself. Each window repeats the system turn and the
-turns in the last ``history`` tokens before it; repeated targets are not in its mask.
+turns whose tokens lie in one span of ``stride`` tokens, less those of the system turn,
+and a turn that reaches over the end of a span is a window by itself. Each window repeats
+the system turn and the turns in the last ``history`` tokens before it, so that it has at
+most ``stride + history`` tokens; repeated targets are not in its mask.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def ordered_turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     """
     turns = rows.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"),
-    ).withColumn("tokens", n_words(F.col("text")) + 4).withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK))
+    ).withColumn("tokens", n_words(F.col("text")) + 4).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
     sums = turns.groupBy("conv_id", "block").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("c"))
     ahead = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv_id").alias("c_"), F.col("block").alias("b_"), F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("n0"))
@@ -66,26 +67,34 @@ def format_chats(rows: DataFrame, *, stride: int = STRIDE, history: int = HISTOR
     * rows are in the order of turn, null first; ties go by role and text, and repeated
       rows are turns of their own
     * null role and null text are empty; a null conversation id is a conversation
-    * a turn longer than the budget is a window of its own, whole
-    * the system turn is a first turn with role ``system``; it is repeated whole
+    * the system turn is a first turn with role ``system``; its tokens count in every
+      window. It is repeated whole if it has at most half of ``stride``; a longer one is
+      in the first window only
+    * a turn longer than what the system turn leaves of ``stride`` is a window of its
+      own, whole, without history: only then can a window be over the budget
     * an empty table gives an empty result; other columns are ignored
     """
     if history > stride:
         raise ValueError("history must not be longer than stride")
     turns = materialise(ordered_turns(rows, **columns), "chat-turns")
     last = F.col("before") + F.col("tokens")
-    placed = turns.withColumn("w", F.floor(F.col("before") / stride) * 2 + F.when(F.floor(F.col("before") / stride) < F.floor((last - 1) / stride), 1).otherwise(0))
+    repeats = (F.col("n") == 0) & (F.col("role") == "system") & (2 * F.col("tokens") <= stride)
+    # What a conversation's system turn leaves of the stride: one row for each that has one.
+    rooms = turns.where(repeats).select(F.col("conv_id").alias("c_"), (stride - F.col("tokens")).alias("room"))
+    turns = turns.join(rooms, F.col("conv_id").eqNullSafe(F.col("c_")), "left").drop("c_").withColumn("room", F.coalesce("room", F.lit(stride)))
+    cell = F.floor(F.col("before") / F.col("room"))
+    placed = turns.withColumn("w", cell * 2 + F.when(cell < F.floor((last - 1) / F.col("room")), 1).otherwise(0))
     shown = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     piece = F.struct("n", shown.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == target).alias("target"))
     new = placed.select("conv_id", "w", F.lit(2).alias("kind"), piece.alias("p"))
     # Windows and where their new turns start.
-    starts = placed.groupBy("conv_id", "w").agg(F.min("before").alias("from"), F.min("n").alias("first")).where("first > 0").select(F.col("conv_id").alias("c_"), "w", "from")
+    starts = placed.groupBy("conv_id", "room", "w").agg(F.min("before").alias("from"), F.min("n").alias("first"), F.max("tokens").alias("most")).where("first > 0").select(F.col("conv_id").alias("c_"), F.col("room").alias("r_"), "w", "from", "most")
     # A turn lies in the history of windows that start in (its end, its start + history].
-    reach = F.sequence(F.floor(last / stride), F.floor((F.col("before") + history) / stride))
-    near = placed.where((F.col("tokens") <= history) & ((F.col("n") > 0) | (F.col("role") != "system"))).withColumn("cell", F.explode(reach)).drop("w")
-    cells = starts.withColumn("cell", F.floor(F.col("from") / stride)).withColumnRenamed("cell", "e_")
+    reach = F.sequence(F.floor(last / F.col("room")), F.floor((F.col("before") + history) / F.col("room")))
+    near = placed.where((F.col("tokens") <= history) & ~repeats).withColumn("cell", F.explode(reach)).drop("w")
+    cells = starts.where("most <= r_").withColumn("e_", F.floor(F.col("from") / F.col("r_")))
     old = near.join(cells, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("cell") == F.col("e_"))).where((last <= F.col("from")) & (F.col("from") <= F.col("before") + history)).select("conv_id", "w", F.lit(1).alias("kind"), piece.alias("p"))
-    system = placed.where((F.col("n") == 0) & (F.col("role") == "system")).drop("w").join(starts, F.col("conv_id").eqNullSafe(F.col("c_"))).select("conv_id", "w", F.lit(0).alias("kind"), piece.alias("p"))
+    system = placed.where(repeats).drop("w").join(starts, F.col("conv_id").eqNullSafe(F.col("c_"))).select("conv_id", "w", F.lit(0).alias("kind"), piece.alias("p"))
     parts = new.unionByName(old).unionByName(system).groupBy("conv_id", "w").agg(F.sort_array(F.collect_list(F.struct("kind", "p"))).alias("t"))
     whole = F.transform("t", lambda x: F.concat(x.p.head, x.p.body, F.lit(END + "\n")))
     # One pass carries the code points so far and the mask.

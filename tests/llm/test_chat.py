@@ -34,3 +34,29 @@ def test_round_trip_with_small_windows(spark):
 
 def test_empty(spark):
     assert chat.read_back(chat.format_chats(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def tokens(text):
+    return sum(len(t.split("\n", 1)[1][: -len("<|im_end|>\n")].split()) + 4 for t in text.split("<|im_start|>")[1:])
+
+
+def test_budget_holds_with_any_system_turn(spark):
+    rows = []
+    for c, n in enumerate([0, 1, 20, 46, 47, 300]):
+        rows += [(c, 0, "system", "s " * n, 0)] + [(c, t, ["user", "assistant"][t % 2], "w " * ((t * 7 + c) % 23), 0) for t in range(1, 80)]
+    rows += [(50, 0, "system", "s " * 10, 0), (50, 1, "user", "u " * 20, 0), (50, 2, "assistant", "long " * 400, 0), (50, 3, "user", "u " * 20, 0), (50, 4, "assistant", "ok", 0)]
+    windows = chat.format_chats(spark.createDataFrame(rows, SCHEMA), stride=100, history=30)
+    got = {r[0]: tuple(r)[1:5] for r in chat.read_back(windows).collect()}
+    assert got == brute(rows)
+    over = [(r.conv_id, r.n_new) for r in windows.collect() if tokens(r.text) > 130]
+    # Only turns that are too long by themselves: the system turn of 300 words, a turn of 400.
+    assert sorted(over) == [(5, 1), (50, 1)]
+    for c, n in enumerate([0, 1, 20, 46, 47, 300]):
+        said = [r.text.startswith("<|im_start|>system\n") for r in windows.where(f"conv_id = {c}").collect()]
+        assert all(said) if n <= 46 else sum(said) == 1
+
+
+def test_nulls_come_before_negative_turns(spark):
+    rows = [(1, t, "assistant", f"t{t}", 0) for t in (-300, None, -1, 0, 5, -70000)]
+    windows = chat.format_chats(spark.createDataFrame(rows, SCHEMA))
+    assert {r[0]: tuple(r)[1:5] for r in chat.read_back(windows).collect()} == brute([r if r[1] is not None else (1, -(10**9), *r[2:]) for r in rows])
