@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 TRAINING_DOCS = 4_000
 #: Kinds in the order of the results.
 KINDS = ("email", "ip", "card", "phone")
-#: Share of right ones that the threshold must reach on held-out candidates.
+#: Candidates of a document that are learned from, at most (those with the least hashes).
+PER_DOC = 64
+#: Probability of being right, as calibrated on held-out candidates, that a span must have.
 PRECISION = 0.98
 
 # Four code points that are never assigned characters. They are taken out of the text
@@ -215,11 +217,14 @@ def _in_text(spans: Callable) -> Column:
 @dataclass(frozen=True)
 class Boosted:
     """Trees (feature, cut, (feature, cut, leaf, leaf), (feature, cut, leaf, leaf)),
-    summed from ``bias``; spans from ``threshold`` up are redacted."""
+    summed from ``bias``; spans from their kind's threshold up are redacted. ``held`` has
+    for each kind how many held-out candidates reached it, and how many of them are
+    right."""
 
-    bias: float
-    trees: tuple
-    threshold: float
+    bias: float = 0.0
+    trees: tuple = ()
+    thresholds: tuple[float, ...] = (float("inf"),) * len(KINDS)
+    held: tuple[tuple[int, int], ...] = ((0, 0),) * len(KINDS)
 
     def column(self, x: Column) -> Column:
         def at(t: tuple) -> Column:
@@ -231,12 +236,16 @@ class Boosted:
         return total
 
 
-def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
+def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, least: int = 5) -> tuple[int, float]:
+    """The feature and cut of the largest gain with ``least`` candidates on either side,
+    so that no tree follows single ones (what is personal but no base span is among the
+    wrong ones too)."""
     best = (-1.0, 0, float(x[:, 0].max()) if len(x) else 0.0)
     for f in range(x.shape[1]):
         order = np.argsort(x[:, f], kind="stable")
         v = x[order, f]
         cut = np.flatnonzero(v[1:] > v[:-1])
+        cut = cut[(cut + 1 >= least) & (len(v) - cut - 1 >= least)]
         if len(cut):
             a, b = np.cumsum(g[order])[cut], np.cumsum(h[order])[cut]
             gain = a**2 / (b + 1) + (g.sum() - a) ** 2 / (h.sum() - b + 1)
@@ -246,13 +255,35 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
     return best[1], best[2]
 
 
-def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 20, rate: float = 0.4, precision: float = PRECISION, seed: int = 5) -> Boosted:
-    """Logistic boosting of trees of depth two; the threshold is the least score at and
-    above which held-out candidates (a third) reach ``precision``. Nothing to learn
-    from, or no such score: nothing is added."""
+def isotonic(score: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The probability of being right at each score: the rising step function that is
+    nearest to the outcomes (neighbours that fall are pooled)."""
+    order = np.argsort(score, kind="stable")
+    u, first, many = np.unique(score[order], return_index=True, return_counts=True)
+    pools: list[list[float]] = []  # right, all, scores
+    for n, k in zip(np.add.reduceat(right[order].astype(float), first) if len(u) else [], many, strict=True):
+        pools.append([float(n), float(k), 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            n, k, c = pools.pop()
+            pools[-1] = [pools[-1][0] + n, pools[-1][1] + k, pools[-1][2] + c]
+    steps = np.repeat([n / k for n, k, _ in pools], [int(c) for *_, c in pools])
+    return steps[np.searchsorted(u, score)] if len(u) else np.zeros(0)
+
+
+def _threshold(score: np.ndarray, right: np.ndarray, precision: float, least: int = 5) -> float:
+    """The least score with the probability ``precision``; none if fewer than ``least``
+    candidates reach it."""
+    good = score[isotonic(score, right) >= precision]
+    return float(good.min()) - 1e-9 if len(good) >= least else float("inf")
+
+
+def boost(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, *, trees: int = 20, rate: float = 0.4, precision: float = PRECISION, seed: int = 5) -> Boosted:
+    """Logistic boosting of trees of depth two. Scores are calibrated on held-out
+    candidates (a third) of each kind by itself; a kind's threshold is the least score
+    whose probability is ``precision``. Nothing to learn from: nothing is added."""
     third = np.random.default_rng(seed).permutation(len(y)) % 3 == 0
     if y[~third].sum() < 5 or third.sum() < 5:
-        return Boosted(0.0, (), float("inf"))
+        return Boosted()
     a, b = x[~third], y[~third].astype(float)
     bias = float(np.log((b.sum() + 1) / (len(b) - b.sum() + 1)))
     score, held, out = np.full(len(b), bias), np.full(int(third.sum()), bias), []
@@ -272,23 +303,31 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 20, rate: float = 0.4, p
             m = (x[third][:, f] <= cut) == low
             held[m] += np.where(x[third][m, f2] <= cut2, leaves[0], leaves[1])
         out.append(tuple(tree))
-    order = np.argsort(-held, kind="stable")
-    right = np.cumsum(y[third][order]) / np.arange(1, len(order) + 1)
-    last = np.append(held[order][1:] < held[order][:-1], True)
-    good = np.flatnonzero((right >= precision) & last)
-    return Boosted(bias, tuple(out), float(held[order][good[-1]]) - 1e-9 if len(good) else float("inf"))
+    own = [(held[kinds[third] == k], y[third][kinds[third] == k]) for k in range(len(KINDS))]
+    thresholds = tuple(_threshold(*one, precision) for one in own)
+    return Boosted(bias, tuple(out), thresholds, tuple((int((h >= t).sum()), int(r[h >= t].sum())) for (h, r), t in zip(own, thresholds, strict=True)))
 
 
-def fit(docs: DataFrame, *, rows: int = TRAINING_DOCS, id_col: str = "doc_id", text_col: str = "text", **options) -> Boosted:
-    """Fit on the candidates of at most ``rows`` documents with a digit or an @. A
-    candidate that is a base span (or a phone number less its code) is right, and one that overlaps a base span
-    otherwise teaches nothing. Features do not show what the
-    base patterns ask for (a plus sign, a checksum), so what else looks like a right
-    one is found too."""
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    few = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = candidates(base_spans(few)).select("doc_id", F.explode("cands").alias("c")).where("c.right or not c.known").orderBy("doc_id", "c.start", "c.end", "c.k").select("c.x", "c.right").collect()
-    return boost(np.array([r.x for r in found], float).reshape(-1, len(FEATURES)), np.array([r.right for r in found], bool), **options)
+def training_texts(docs: DataFrame, *, rows: int = TRAINING_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """h, text of at most ``rows`` different documents with a digit or an @: those with
+    the least hashes of id and text. The hashes are chosen first, and only the texts of
+    the chosen move."""
+    held = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    least = held.groupBy("h").agg(F.lit(1)).select("h").orderBy("h").limit(rows)
+    return held.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.any_value("text").alias("text"))
+
+
+def fit(docs: DataFrame, *, rows: int = TRAINING_DOCS, per_doc: int = PER_DOC, id_col: str = "doc_id", text_col: str = "text", **options) -> Boosted:
+    """Fit on at most ``per_doc`` candidates of each of at most ``rows`` documents: so
+    many rows of numbers reach the driver. A candidate that is a base span (or a phone
+    number less its code) is right, and one that overlaps a base span otherwise teaches
+    nothing. Features do not show what the base patterns ask for (a plus sign, a
+    checksum), so what else looks like a right one is found too."""
+    few = training_texts(docs, rows=rows, id_col=id_col, text_col=text_col)
+    found = candidates(base_spans(few, id_col="h")).select("doc_id", F.filter("cands", lambda c: c.right | ~c.known).alias("c"))
+    some = F.slice(F.array_sort(F.transform("c", lambda c: F.struct(F.xxhash64("doc_id", c.start, c.end, c.k).alias("u"), c.x.alias("x"), c.right.alias("right"), c.k.alias("k")))), 1, per_doc)
+    taken = found.select("doc_id", F.explode(some).alias("c")).orderBy("doc_id", "c").select("c.x", "c.right", "c.k").collect()
+    return boost(np.array([r.x for r in taken], float).reshape(-1, len(FEATURES)), np.array([r.right for r in taken], bool), np.array([r.k for r in taken], int), **options)
 
 
 def find_pii(docs: DataFrame, model: Boosted, *, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
@@ -310,10 +349,11 @@ def find_pii(docs: DataFrame, model: Boosted, *, id_col: str = "doc_id", text_co
         return F.transform(spans, lambda s: F.struct(F.lit(k).alias("k"), s.start.alias("start"), s.end.alias("end"), F.lit(KINDS[k]).alias("kind")))
 
     def added(g: Column) -> Column:
-        if not np.isfinite(model.threshold):
+        if not np.isfinite(model.thresholds).any():
             return F.expr("array()").cast(kind)
         scored = F.transform(F.filter(g.cands, lambda c: ~c.known), lambda c: F.struct((-model.column(c.x)).alias("score"), (F.get(c.x, F.lit(0)) > 15).alias("long"), (c.start - c.end).alias("size"), c.start.alias("start"), c.end.alias("end"), c.k.alias("k")))
-        best = F.array_sort(F.filter(scored, lambda c: c.score <= -model.threshold))
+        least = lambda k: F.element_at(F.array(*[F.lit(float(t)) for t in model.thresholds]), k + 1)
+        best = F.array_sort(F.filter(scored, lambda c: c.score <= -least(c.k)))
         return F.aggregate(
             best, F.expr("array()").cast(kind),
             lambda t, c: F.when(F.exists(t, lambda o: (o.start < c.end) & (c.start < o.end)), t).otherwise(F.concat(t, F.array(F.struct(c.k.alias("k"), c.start.alias("start"), c.end.alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), c.k + 1).alias("kind"))).cast(kind))),

@@ -8,7 +8,7 @@ from siltstone.llm import pii
 
 SCHEMA = "doc_id long, text string"
 #: Takes what has at least six digits, longer ones first.
-MODEL = pii.Boosted(0.0, ((0, 5.0, (0, 9.0, -1.0, -1.0), (1, 14.0, 1.0, 2.0)),), 0.5)
+MODEL = pii.Boosted(0.0, ((0, 5.0, (0, 9.0, -1.0, -1.0), (1, 14.0, 1.0, 2.0)),), (0.5,) * 4)
 
 
 def test_segments_do_not_change_results(spark):
