@@ -67,6 +67,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         if a.command in ("collect", "qa"):
             files = sources.scan(spark, ctx.root)
+            if skipped := sources.files_skipped(spark, ctx.root):
+                print(f"files left out because they are not UTF-8: {skipped}")
             runs = spark.read.schema(RUNS).json(a.runs) if a.runs else None
             depth = [(0, os.path.join(ctx.root, "Cargo.toml")), *[(1, os.path.join(ctx.root, d, "Cargo.toml")) for d in sorted(os.listdir(ctx.root))]]
             manifests = []

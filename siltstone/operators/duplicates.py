@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import written
+
 #: Tokens of a window, lines that it must span, and blocks that a report lists.
 WINDOW, MIN_LINES, LISTED = 100, 6, 100
 #: A word, or any other character that is not white space (spelt out: dialects differ).
@@ -123,7 +125,9 @@ def occurrences(spans: DataFrame, held: DataFrame, *, min_lines: int = MIN_LINES
 
 def top_blocks(found: DataFrame, *, listed: int = LISTED) -> DataFrame:
     """The ``listed`` blocks with the most lines, then occurrences (ties by file and
-    line), and how many blocks are left out: a report. Both in one pass over the blocks."""
+    line), and how many blocks are left out: a report. The blocks are written first, so
+    that they are found once."""
+    found = written(found, "blocks")
     order = [F.col("lines").desc(), F.col("occurrences").desc(), "path", "start_line", "key"]
     many = found.agg(F.greatest(F.count(F.lit(1)) - listed, F.lit(0)).alias("omitted"))
     return found.orderBy(*order).limit(listed).join(many, F.lit(True)).select("path", "start_line", "lines", "tokens", "occurrences", "omitted")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import written
+
 MAX_LINE = 100
 MAX_FILE_LINES, MAX_CODE_LINES = 40, 30
 LISTED = 200
@@ -84,10 +86,11 @@ def size_maxima(counts: DataFrame) -> DataFrame:
 def long_lines(files: DataFrame, *, max_line: int = MAX_LINE, listed: int = LISTED) -> DataFrame:
     """The first ``listed`` long lines by path and number, and how many more there are:
     a report."""
-    found = lines_of(files.select("path", "content")).withColumn("length", F.octet_length("line").cast("long")).where(F.col("length") > max_line)
-    first = found.orderBy("path", "line_no").limit(listed)
-    many = classified(files.select("path", "content"), max_line=max_line).agg(F.greatest(F.coalesce(F.sum("long"), F.lit(0)) - listed, F.lit(0)).cast("long").alias("omitted"))
-    return first.join(many, F.lit(True)).select("path", F.col("line_no").cast("long").alias("line_no"), "length", F.lit(max_line).cast("long").alias("threshold"), "omitted")
+    each = lines_of(files.select("path", "content")).withColumn("length", F.octet_length("line").cast("long")).where(F.col("length") > max_line)
+    # Places and lengths are written, so that the texts are read once.
+    found = written(each.select("path", F.col("line_no").cast("long").alias("line_no"), "length"), "long-lines")
+    many = found.agg(F.greatest(F.count(F.lit(1)) - listed, F.lit(0)).alias("omitted"))
+    return found.orderBy("path", "line_no").limit(listed).join(many, F.lit(True)).select("path", "line_no", "length", F.lit(max_line).cast("long").alias("threshold"), "omitted")
 
 
 #: Limits on files: rule, column, what the message says (fixed values).

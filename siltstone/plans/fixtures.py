@@ -31,13 +31,13 @@ def _values(names: str, *rows: str) -> str:
 
 LINES = _values(
     "path, content",
-    "'a', " + _text("/* block start", "   inside block", "   still inside", "*/", "fn main() {}"),
-    "'b', " + _text("/* single line comment */", "fn main() {}"),
-    "'c', " + _text("// line comment", "fn main() {}", "/* block", "   interior", "*/"),
-    "'d', " + _text("fn main() {}", "/* comment", "   interior */"),
-    "'e', " + _text("/**/", "fn main() {}"),
-    "'f', 'let x = 1; /* inline */ let y = 2;'",
-    "'g', " + _text("/* start", "", "   after blank", "*/", "fn main() {}"),
+    "'a', " + _text("/* opened here,", "  goes on,", "  and on", "*/", "let n = 1;"),
+    "'b', " + _text("/* opened and closed */", "let n = 1;"),
+    "'c', " + _text("// to the end of the line", "let n = 1;", "/* more", "  of it", "*/"),
+    "'d', " + _text("let n = 1;", "/* closed on", "  the last line */"),
+    "'e', " + _text("/**/", "let n = 1;"),
+    "'f', 'let n = 1; /* between */ let m = 2;'",
+    "'g', " + _text("/* opened,", "", "  then an empty line", "*/", "let n = 1;"),
     "'h', " + _text("/// doc", "//! inner", "fn main() {}"),
     "'i', " + _text("/* d */ code", "x", "code /* open", "*/", "y", ""),
     "'j', 'a' || chr(13) || chr(10) || chr(13) || chr(10) || 'b' || chr(13) || chr(10)",

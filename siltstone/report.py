@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from siltstone.functions.scalars import COLLECTORS
 
 #: What a status looks like (fixed values).
+#: Rows of a table that a report shows.
+SHOWN = 200
 GLYPHS = {"pass": "✓ pass", "fail": "✗ FAIL", "skipped": "○ skip", "error": "⚠ error"}
 
 
@@ -101,7 +103,10 @@ def report_text(document: dict, details: dict[str, DataFrame] | None = None) ->
     for title, table in (details or {}).items():
         out += ["", f"{title}:"]
         shown = F.concat_ws(" ", *[F.col(c).cast("string") for c in table.columns])
-        out += [f"  {r[0]}" for r in table.select(shown).limit(200).collect()]
+        # In the order of the columns; how many are not shown is said.
+        more = table.count() - SHOWN
+        out += [f"  {r[0]}" for r in table.orderBy(*table.columns).select(shown).limit(SHOWN).collect()]
+        out += [f"  ... and {more} more"] if more > 0 else []
     return "\n".join(out) + "\n"
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tomllib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,27 +38,49 @@ def base_name(path: Column) -> Column:
     return F.when(name == "", "unknown").otherwise(F.coalesce(name, F.lit("unknown")))
 
 
-def scan(spark: SparkSession, root: str, *, extension: str = "rs", all_folders: bool = False) -> DataFrame:
-    """path (relative), content of the files under a root. Files that are not UTF-8 are
-    left out. Spark's reader passes over empty files and over names that start with ``_``
-    or ``.``; of a local root, these are added from a listing."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, at in enumerate(batch.column(0).to_pylist()):
+            with open(at, "rb") as f:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([f.read()], pa.binary())], ["path", "content"])
+
+
+def _passed_over(root: str, extension: str) -> list[tuple[str]]:
+    """Files of a local root that Spark's reader passes over: empty ones, and those with a
+    part of their path that starts with ``_`` or ``.``."""
+    found = []
+    for folder, _, names in os.walk(root):
+        for name in names:
+            at = os.path.join(folder, name)
+            inside = os.path.relpath(at, root).split(os.sep)
+            if name.endswith(f".{extension}") and os.path.isfile(at) and (not os.path.getsize(at) or any(p[0] in "_." for p in inside)):
+                found.append((at,))
+    return found
+
+
+def scan_all(spark: SparkSession, root: str, *, extension: str = "rs", all_folders: bool = False) -> DataFrame:
+    """path (relative), content, readable (whether it is UTF-8) of the files under a root.
+    Tasks read the files; of a local root the driver lists the names, so that files that
+    Spark's reader passes over are read too."""
     root = root.rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
-    found = read.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("content").cast("string").alias("content"))
-    if os.path.isdir(root):
-        missed = []
-        for folder, _, names in os.walk(root):
-            for name in names:
-                at = os.path.join(folder, name)
-                inside = os.path.relpath(at, root).split(os.sep)
-                if name.endswith(f".{extension}") and os.path.isfile(at) and (not os.path.getsize(at) or any(p[0] in "_." for p in inside)):
-                    with open(at, "rb") as f:
-                        missed.append((at, f.read().decode("utf-8", "surrogateescape")))
-        clean = [(p, t) for p, t in missed if not any("\ud800" <= c <= "\udfff" for c in t)]
-        if clean:
-            found = found.unionByName(spark.createDataFrame(clean, "path string, content string")).dropDuplicates(["path"])
+    found = read.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    more = _passed_over(root, extension) if os.path.isdir(root) else []
+    if more:
+        found = found.unionByName(spark.createDataFrame(more, "path string").mapInArrow(_contents, "path string, content binary")).dropDuplicates(["path"])
     kept = has_extension(F.col("path"), extension) if all_folders else scannable(F.col("path"), extension=extension)
-    return found.where(kept & F.is_valid_utf8("content")).select(relative(F.col("path"), root).alias("path"), "content")
+    text = F.col("content").cast("string")
+    return found.where(kept).select(relative(F.col("path"), root).alias("path"), text.alias("content"), F.is_valid_utf8(text).alias("readable"))
+
+
+def scan(spark: SparkSession, root: str, **options) -> DataFrame:
+    """path, content of the files under a root that are UTF-8."""
+    return scan_all(spark, root, **options).where("readable").drop("readable")
+
+
+def files_skipped(spark: SparkSession, root: str, **options) -> int:
+    """How many files ``scan`` leaves out because they are not UTF-8."""
+    return scan_all(spark, root, **options).where("not readable").count()
 
 
 def json_document(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -28,9 +28,17 @@ def project(tmp_path):
 def test_scan(spark, project):
     got = dict(tuple(r) for r in sources.scan(spark, str(project)).collect())
     assert sorted(got) == ["src/_b.rs", "src/a.rs", "src/empty.rs"] and got["src/empty.rs"] == ""
+    assert sources.files_skipped(spark, str(project)) == 1 and sources.files_skipped(spark, str(project / "target"), all_folders=True) == 0
     assert "target/c.rs" in {r.path for r in sources.scan(spark, str(project), all_folders=True).collect()}
 
 
+def test_report_says_what_it_leaves_out(spark, monkeypatch):
+    monkeypatch.setattr(report, "SHOWN", 3)
+    document = {"gateResult": "pass", "summary": dict.fromkeys(("collectorsRun", "collectorsPassed", "collectorsFailed", "collectorsSkipped"), 0), "violations": []}
+    said = report.report_text(document, {"rows": spark.range(9, -1, -1), "few": spark.range(3)})
+    assert said.split("rows:")[1].split() == ["0", "1", "2", "...", "and", "7", "more", "few:", "0", "1", "2"]
+
+
 def test_commands(spark, project, capsys):
     run = lambda *a: cli.main(["--project-dir", str(project), *a], spark)
     assert run("gate") == 2  # nothing collected yet
