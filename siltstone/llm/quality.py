@@ -194,14 +194,22 @@ def learn_rules(x: dict[str, np.ndarray], poor: np.ndarray, *, max_rules: int =
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS, **options) -> list[Rule]:
-    """Learn rules from at most ``rows`` labelled documents, those whose ids have the
-    least hashes. Rows with a null id, text or label teach nothing; of several labels of
-    an id the worst counts. The chosen labels are sent to all workers: two numbers each."""
+def base_failed() -> Column:
+    """Fewer than 10 words, or more than a fifth of them in repeated 5-word windows."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS, base_too: bool = True, **options) -> list[Rule]:
+    """Learn rules from at most ``rows`` labelled ids, those with the least hashes. Rows
+    with a null id, text or label teach nothing; without ``base_too``, nor do those that
+    the base rules reject anyway. Of several labels of an id the worst counts, and of
+    several documents of an id the one with the least counts. The chosen labels are sent
+    to all workers: two numbers each."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(taken), "doc_id", "left_semi")
-    found = statistics(texts).join(F.broadcast(taken), "doc_id").select(*[feature(k).alias(k) for k in FEATURES], (F.col("y") == 0).alias("poor"), "doc_id").orderBy("doc_id").toPandas()
+    counts = statistics(texts).where(F.lit(base_too) | ~base_failed()).groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *MORE)).alias("c")).select("doc_id", "c.*")
+    found = counts.join(F.broadcast(taken), "doc_id").select(*[feature(k).alias(k) for k in FEATURES], (F.col("y") == 0).alias("poor"), "doc_id").orderBy("doc_id").toPandas()
     return learn_rules({k: found[k].to_numpy(float) for k in FEATURES}, found["poor"].to_numpy(bool), **options)
 
 
@@ -215,7 +223,5 @@ def decision(rules: list[Rule]) -> Column:
 
 
 def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add base_failed, rule and kept to a table of statistics. Base: fewer than 10
-    words, or more than a fifth of them in repeated 5-word windows."""
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return stats.withColumn("base_failed", base).withColumn("rule", decision(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    """Add base_failed, rule and kept to a table of statistics."""
+    return stats.withColumn("base_failed", base_failed()).withColumn("rule", decision(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -50,7 +50,7 @@ def op7_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.apply_rules(quality.statistics(docs), quality.fit(docs, labels)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return quality.apply_rules(quality.statistics(docs), quality.fit(docs, labels, base_too=False)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,14 @@ def test_counts_against_brute_force(spark):
     assert got == {d: brute(t) for d, t, _ in rows}
     kept = quality.apply_rules(quality.statistics(docs), [])
     assert kept.where("kept = base_failed").count() == 0
+
+
+def test_rows_that_the_base_rules_reject_teach_nothing(spark):
+    fine = lambda i: " ".join(f"w{i}_{k}" for k in range(20 + i % 9))
+    rows = [(i, fine(i) + (" # $ % &" if i % 4 == 0 else "") if i % 4 != 1 else "! ! ! " * 20) for i in range(200)] + [(0, fine(0)), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 1)) for i in range(200)], "doc_id long, quality int")
+    both, own = quality.fit(docs, labels), quality.fit(docs, labels, base_too=False)
+    assert [c[0] for r in own for c in r.conditions] == ["symbols_per_word"] and len(both) >= 2
+    judged = quality.apply_rules(quality.statistics(docs), own).where("not base_failed and doc_id > 0")
+    assert judged.where("kept = (doc_id % 4 = 0)").count() == 0
