@@ -55,7 +55,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     they are read."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     whole = docs.select("doc_id", "text", F.col("text").alias("body"), "lang", "source", "n_chars")
-    judged = quality.apply_rules(quality.statistics(whole, carry=("body", "lang", "source", "n_chars")), quality.fit(docs, labels))
+    judged = quality.apply_rules(quality.statistics(whole, carry=("body", "lang", "source", "n_chars")), quality.fit(docs, labels, base_too=False))
     return judged.where("kept").withColumnRenamed("body", "text").select(*COLUMNS)
 
 
