@@ -56,9 +56,15 @@ def _running(sums: DataFrame, key: str) -> DataFrame:
     return found.withColumn("ahead", F.col("own") + F.col("more")).drop("source_", "group_", "group", "own", "more")
 
 
+def order_key(id_: Column, text: Column, seed: str = "mix") -> Column:
+    """Where a document comes in the order of its source."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Return per input row: doc_id, source, size, source_size, target, taken, epochs,
-    and the columns in ``carry``.
+    """Return per input row: doc_id, source, size, source_size, target, taken, epochs, u
+    (``order_key``), and the columns in ``carry``. Of a source's rows with words, those
+    that are taken at least any number of times come first in the order of u.
 
     * size is the number of words, 0 for null text; such rows take nothing
     * sources are in the order of their code points, null last, as a source of its own
@@ -70,7 +76,7 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     * an empty table gives an empty result; other columns are ignored
     """
     rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("u"), *carry),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), order_key(F.col(id_col), F.col(text_col), seed).alias("u"), *carry),
         "mix-rows",
     )
     none = F.lit("" if docs.schema[id_col].dataType.typeName() == "string" else 0).cast(docs.schema[id_col].dataType)
@@ -116,4 +122,4 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
         taken_epochs = sum((at(e) for e in range(1, max_epochs)), at(0))
     epochs = F.when(F.col("size") > 0, taken_epochs).otherwise(0).cast("long")
-    return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"), *carry)
+    return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"), "u", *carry)

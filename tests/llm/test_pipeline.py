@@ -50,7 +50,9 @@ def test_rules_judge_rows(spark, tmp_path):
     assert after(spark, corpus_pipeline.rules, rows, str(tmp_path)) == Counter(x for x in rows if not poor(x[1]))
 
 
-def test_exact_leaves_one_of_each(spark):
+@pytest.mark.parametrize("sent", [corpus_pipeline.SENT, 0])
+def test_exact_leaves_one_of_each(spark, monkeypatch, sent):
+    monkeypatch.setattr(corpus_pipeline, "SENT", sent)
     rows = table(2) + [(8, "same text", "en", "web", 9), (None, "same  text", "en", "web", 10), (9, "same text", "en", "web", 9), (9, "other", "en", "web", 5)]
     rows += [(None, "no ids", "en", "web", 6)] * 3 + [(70, "one id", "en", "web", 6)] * 4
     groups = {}
@@ -106,8 +108,10 @@ def test_run(spark, tmp_path):
     assert Counter((p.doc_id, p.doc_tokens) for p in again if p.start == 0) == Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0)
 
 
-def test_mix_takes_rows(spark, tmp_path):
-    rows = table(4)
+@pytest.mark.parametrize("sent", [corpus_pipeline.SENT, 0])
+def test_mix_takes_rows(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(corpus_pipeline, "SENT", sent)
+    rows = table(4) + [(None, "same id and text", "en", "web", 4)] * 6 + [(5, "five words of a document", "en", None, 4)] * 3
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
@@ -118,4 +122,5 @@ def test_mix_takes_rows(spark, tmp_path):
     for x, n in after(spark, corpus_pipeline.mix, rows).items():
         got[x[0], len((x[1] or "").split())] += n
         assert n <= 3 * rows.count(x)
+    assert after(spark, corpus_pipeline.mix, []) == Counter()
     assert +want == got and any(k[0] is None for k in got)
