@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, minhash, mixing, packing, quality
-from siltstone.llm.shared import discard, documents, materialise, written_tables
+from siltstone.llm.shared import WORD, discard, documents, materialise, written_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Where a row lies: the file (a hash of its path) and the place in it.
 PLACE = ["file", "at"]
+#: Rows of places, or sources, that are sent to all tasks, at most: some 50 MB. With more,
+#: documents are shuffled to them.
+SENT = 1 << 20
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -40,6 +43,11 @@ def placed(docs: DataFrame) -> DataFrame:
     return where.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("content"), *PLACE))
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast in a join if it has few rows."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
 def one_of_each(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """The documents less the rows that ``judge`` doesn't keep. It sees keys as ids."""
     docs = placed(docs)
@@ -47,7 +55,7 @@ def one_of_each(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], name:
         verdicts = judge(docs).where("not kept").select("doc_id.file", "doc_id.at")
     gone = materialise(verdicts, f"pipeline-{name}-gone")
     discard(*own)
-    return docs.join(gone, PLACE, "left_anti").select(*COLUMNS)
+    return docs.join(sent(gone), PLACE, "left_anti").select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,14 +80,32 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    How often depends on the source and on where the document comes in its order: before
+    the last that is taken once, twice, ... So what texts meet is a row of last places for
+    each source, and the places of the documents at such a place themselves."""
     docs = placed(docs)
     with written_tables() as own:
-        taken = mixing.fair_mix(docs, carry=tuple(PLACE)).where("epochs > 0").select(*PLACE, "epochs")
-    epochs = materialise(taken, "pipeline-mix-epochs")
+        mixed = mixing.fair_mix(docs, carry=tuple(PLACE)).select("source", "u", "epochs", *PLACE)
+    taken = materialise(mixed, "pipeline-mix-taken")
     discard(*own)
-    times = F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))
-    return docs.join(epochs, PLACE).withColumn("epoch", times).select(*COLUMNS)
+    most = taken.agg(F.coalesce(F.max("epochs"), F.lit(0))).first()[0]
+    lasts = [f"u{e}" for e in range(1, most + 1)]
+    ends = taken.groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("rows"), *[F.max(F.when(F.col("epochs") >= e, F.col("u"))).alias(k) for e, k in enumerate(lasts, 1)])
+    ends = materialise(ends, "pipeline-mix-ends")
+    if ends.count() <= SENT:
+        ends = F.broadcast(ends)
+        same = F.col("source").eqNullSafe(F.col("of"))
+        at_end = F.coalesce(sum((F.coalesce(F.col("u") == F.col(k), F.lit(False)).cast("int") for k in lasts), F.lit(0)) > 0, F.lit(False))
+        edges = materialise(taken.join(ends, same).where(at_end).select(*PLACE, F.col("epochs").alias("own")), "pipeline-mix-edges")
+        words = docs.withColumn("u", mixing.order_key(F.col("doc_id"), F.col("text"))).join(ends, same).join(sent(edges), PLACE, "left")
+        before = sum((F.coalesce(F.col("u") < F.col(k), F.lit(False)).cast("int") for k in lasts), F.lit(0))
+        times = F.coalesce("own", F.when(F.col("text").rlike(WORD), before).otherwise(0))
+        counted = words.withColumn("times", times).where("times > 0")
+    else:
+        counted = docs.join(taken.where("epochs > 0").select(*PLACE, F.col("epochs").alias("times")), PLACE)
+    return counted.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
