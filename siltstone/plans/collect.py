@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from siltstone.config import Context
 from siltstone.functions import scalars as S
 from siltstone.functions.scalars import COLLECTORS
 from siltstone.operators import assembly, duplicates, lines, rust_syntax, tool_outputs
+from siltstone.sources.tables import written
 
 SCHEMA = "collector string, metric string, value double, text string"
 #: JSON names of metrics -> names in the gate's rules, where they are not the same words.
@@ -83,14 +85,23 @@ def tool_rows(runs: DataFrame) -> DataFrame:
     return numbers.join(F.broadcast(ran), "collector", "left_semi").select("collector", "metric", "value", F.lit(None).cast("string").alias("text")).unionByName(said)
 
 
-def collect(spark: SparkSession, files: DataFrame, ctx: Context, runs: DataFrame | None = None) -> DataFrame:
+def timed(part: DataFrame, collector: str) -> DataFrame:
+    """A collector's metrics, made and written now, and ``duration_ms``: how long that took."""
+    start = time.monotonic()
+    made = written(part, f"metrics-{collector}")
+    took = made.sparkSession.createDataFrame([(collector, "duration_ms", float(round(1000 * (time.monotonic() - start))), None)], SCHEMA)
+    return made.unionByName(took)
+
+
+def collect(spark: SparkSession, files: DataFrame, ctx: Context, runs: DataFrame | None = None, *, durations: bool = False) -> DataFrame:
     """Metrics (collector, metric, value, text) of all collectors that run; those that
-    don't run have the status ``skipped`` and no metrics."""
+    don't run have the status ``skipped`` and no metrics. With ``durations`` the collectors
+    on sources run one after the other, and each is timed."""
     have = list(COLLECTORS[8:]) + ([r[0] for r in runs.select("collector").distinct().limit(50).collect()] if runs is not None else [])
     asked = spark.createDataFrame([(ctx.profile, list(ctx.disabled), have)], "profile string, disabled array<string>, available array<string>")
     which = {r.collector: r.runs for r in assembly.enabled(asked).collect()}
     found = Found(files, rust_syntax.syntax(files), ctx)
-    parts = [REGISTRY[k](found) for k in REGISTRY if which.get(k)]
+    parts = [timed(REGISTRY[k](found), k) if durations else REGISTRY[k](found) for k in REGISTRY if which.get(k)]
     if runs is not None:
         parts.append(tool_rows(runs.where(F.col("collector").isin([k for k, v in which.items() if v]))))
     off = [k for k, v in which.items() if not v]

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import lossy
-from siltstone.operators import duplicates, lines
+from siltstone.operators import duplicates, lines, tool_outputs
 from siltstone.operators.carry import carried
 from siltstone.operators.intervals import lines_in
 from siltstone.operators.token_windows import measured_table, repeated_windows, token_table
+from siltstone.sources.tables import written
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +136,47 @@ def turn_context(spark: SparkSession, sf_dir: str, *, block: int = 256) -> DataF
     return found.where("role = 'assistant'").select("conv_id", "turn", "last_system", "last_user")
 
 
+def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tools that count a document's lines would print, as captured runs of seven
+    collectors for each document: path, collector, exit_code, stdout, stderr."""
+    files = _files(spark, sf_dir).withColumn("body", F.col("content"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    many = lambda c, item: F.array_join(F.array_repeat(F.lit(item), F.col(c).cast("int")), ",")
+    numbered = F.transform(lines.split_lines(F.col("body")), lambda x, i: F.struct((i + 1).alias("line"), F.octet_length(x).alias("n")))
+    long = F.filter(numbered, lambda x: x.n > lines.MAX_LINE)
+    lint = lambda x: F.to_json(F.struct(F.lit("warning").alias("level"), F.struct(F.lit("long_line").alias("code")).alias("code"), text(x.n, " bytes").alias("message"), F.col("path").alias("file"), x.line.alias("line")))
+    bad = F.when(F.col("long") > 0, 1).otherwise(0)
+    run = lambda collector, code, out, err="": F.struct(F.lit(collector).alias("collector"), code.cast("int").alias("exit_code"), out.alias("stdout"), (F.lit(err) if isinstance(err, str) else err).alias("stderr"))
+    runs = F.array(
+        run("clippy", bad, F.array_join(F.concat(F.array(F.lit("checking"), F.lit("")), F.transform(long, lint), F.array(F.lit('{"level":"note"}'))), "\n")),
+        run("tests", bad, text("running\ntest result: ok. 1 passed; 0 failed\n"), text("test result: done. ", F.col("code"), " passed; ", F.col("long"), " failed; ", F.col("blank"), " ignored")),
+        run("coverage", F.lit(0), F.when(F.col("total") > 0, text('{"totals":{"lines":{"percent":', F.floor(100 * F.col("code") / F.col("total")), "}}}")).otherwise("no lines")),
+        run("deny", bad, text('{"ban":{"list":[', many("blank", "0"), ']},"license":{"violations":[', many("long", '"x"'), "]}}")),
+        run("audit", F.lit(0), text('{"vulnerabilities":{"found":', F.col("long"), ',"list":[', many("long", '{"severity":"Critical"}'), "]}}")),
+        run("hack", F.lit(0), F.lit(""), text("info: checked ", F.col("total"), " combinations")),
+        run("mutants", F.lit(0), text('{"caught":', F.col("code"), ',"missed":', F.col("long"), "}")),
+    )
+    # Written, since each parser reads the runs of its tool.
+    return written(lines.classified(files).select("path", F.explode(runs).alias("r")).select("path", "r.*"), "tool-runs")
+
+
+def tool_metrics_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parsers read from the runs of each document."""
+    return tool_outputs.tool_metrics(tool_runs(spark, sf_dir), ["path"])
+
+
+def tool_lints_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_outputs.clippy_lints(tool_runs(spark, sf_dir), ["path"]).select("path", F.col("seq").cast("long").alias("seq"), "level", "code", "message", F.col("line").cast("long").alias("line"))
+
+
+def tool_statuses_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = tool_runs(spark, sf_dir)
+    return tool_outputs.statuses(runs, tool_outputs.tool_metrics(runs, ["path"]), ["path"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (loc_summary, loc_by_source_lang, long_line_details, long_line_previews, long_line_files, file_sizes, size_file_violations, size_max, doc_tokens, dup_windows, dup_keys, dup_intervals, dup_lines, dup_files, dup_blocks_top, dup_block_lines, dup_summary, turn_sizes, turn_violations, turn_context)
+    for f in (loc_summary, loc_by_source_lang, long_line_details, long_line_previews, long_line_files, file_sizes, size_file_violations, size_max, doc_tokens, dup_windows, dup_keys, dup_intervals, dup_lines, dup_files, dup_blocks_top, dup_block_lines, dup_summary, turn_sizes, turn_violations, turn_context, tool_metrics_by_document, tool_lints_by_document, tool_statuses_by_document)
 }
 
 _LINES = r"""
@@ -180,6 +219,14 @@ _DUP = _TOKENS + r""",
 _TURNS = _LINES.replace("select 'doc/' || doc_id as path, coalesce(text, '') as content, lang, source from documents", "select 'conv/' || conv_id || '/' || turn as path, coalesce(text, '') as content, '' as lang, '' as source from conversations")
 
 
+#: Metrics that the tools' outputs hold: collector, metric, value.
+_TOOLS = [
+    ("clippy", "warning_count", "long"), ("tests", "passed", "code"), ("tests", "failed", "long"), ("tests", "ignored", "blank"), ("coverage", "line_percent", "case when total > 0 then floor(100 * code / total) else 0 end"),
+    ("deny", "banned_count", "blank"), ("deny", "license_violations", "long"), ("audit", "vulnerability_count", "long"), ("audit", "critical_count", "long"), ("hack", "feature_combinations_tested", "total"),
+    ("mutants", "mutation_score", "case when code + long > 0 then code::double / (code + long) else 0 end"), ("mutants", "caught", "code"), ("mutants", "missed", "long"),
+]
+
+
 def _over(table: str, ctes: str, lines: int, code: int) -> str:
     one = lambda rule, k, most, says: f"select path, 1::bigint as line, 'size:{rule}' as rule_id, {k} as actual, {most}::bigint as threshold, printf('{says}', {k}, {most}::bigint) as message, 'major' as severity from {table} where {k} > {most}"
     return f"with {ctes} " + one("max-lines-per-file", "total", lines, "File has %d lines; maximum allowed is %d") + " union all " + one("max-code-lines-per-file", "code", code, "File has %d code lines; maximum allowed is %d")
@@ -208,6 +255,10 @@ ORACLES: dict[str, str] = {
     "dup_summary": f"with {_DUP} select coalesce(sum(end_line - start_line + 1), 0)::bigint as duplicate_lines, count(distinct path) as files_with_duplicates, case when count(*) > 0 then 'fail' else 'pass' end as status from m",
     "turn_sizes": f"with {_TURNS} select count(*) as turns, coalesce(max(total), 0)::bigint as max_lines, coalesce(max(longest), 0)::bigint as max_bytes from g",
     "turn_violations": _over("g", _TURNS, 1, 1),
+    "tool_metrics_by_document": f"""with {_LINES}, v as ({" union all ".join(f"select path, '{c}' as collector, '{m}' as metric, {x}::double as value from g" for c, m, x in _TOOLS)}) select * from v""",
+    "tool_lints_by_document": f"with {_LINES} select path, row_number() over (partition by path order by line_no) + 1 as seq, 'warning' as level, 'long_line' as code, n || ' bytes' as message, line_no::bigint as line from t where n > 100",
+    "tool_statuses_by_document": f"""with {_LINES} select path, collector, case when collector in ('clippy', 'tests', 'deny', 'audit') and long > 0 then 'fail' else 'pass' end as status
+        from g, (select unnest(['clippy', 'tests', 'coverage', 'deny', 'audit', 'hack', 'mutants']) as collector)""",
     "turn_context": """with s as (select conv_id, turn, role, last_value(case when role = 'system' then coalesce(text, '') end ignore nulls) over w as last_system, last_value(case when role = 'user' then coalesce(text, '') end ignore nulls) over w as last_user
         from conversations window w as (partition by conv_id order by turn nulls first, role nulls first, coalesce(text, '') rows between unbounded preceding and 1 preceding)) select conv_id, turn, last_system, last_user from s where role = 'assistant'""",
 }
