@@ -85,24 +85,32 @@ def _lines(c: Chunk) -> tuple[list[int], list[int]]:
     return dup, lines
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, c in chunks(batch.column(1), lower=False):
-            h = c.hashes()
-            repeat = _repeats(c, h)
-            dup, lines = _lines(c)
-            found = {
-                "n_words": np.diff(c.first), "word_chars": c.total(c.word & ((c.raw & 0xC0) != 0x80)), "n_symbols": c.total(_SYMBOL[c.raw]), "n_dup_lines": dup, "n_repeat_words": repeat,
-                "n_upper": c.total(_UPPER[c.raw]), "n_digits": c.total(_DIGIT[c.raw]), "n_marks": c.total(_MARK[c.raw]), "n_bangs": c.total(_BANG[c.raw]), "n_lines": lines, "n_echoes": _echoes(c, h),
-            }
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(np.asarray(found[k]), pa.int64()) for k in COUNTS + MORE], *[x.slice(lo, hi - lo) for x in batch.columns[2:]]], ["doc_id", *COUNTS, *MORE, *batch.schema.names[2:]])
+def _statistics(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [k for k in range(batch.num_columns) if k > 1 or k == 1 and with_text]
+            for lo, hi, c in chunks(batch.column(1), lower=False):
+                h = c.hashes()
+                repeat = _repeats(c, h)
+                dup, lines = _lines(c)
+                found = {
+                    "n_words": np.diff(c.first), "word_chars": c.total(c.word & ((c.raw & 0xC0) != 0x80)), "n_symbols": c.total(_SYMBOL[c.raw]), "n_dup_lines": dup, "n_repeat_words": repeat,
+                    "n_upper": c.total(_UPPER[c.raw]), "n_digits": c.total(_DIGIT[c.raw]), "n_marks": c.total(_MARK[c.raw]), "n_bangs": c.total(_BANG[c.raw]), "n_lines": lines, "n_echoes": _echoes(c, h),
+                }
+                counts = [pa.array(np.asarray(found[k]), pa.int64()) for k in COUNTS + MORE]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *counts, *[batch.column(k).slice(lo, hi - lo) for k in rest]], ["doc_id", *COUNTS, *MORE, *[batch.schema.names[k] for k in rest]])
+
+    return run
 
 
 def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Return doc_id, the counts in COUNTS and MORE and the columns in ``carry`` for
-    every row. Null text has no words; other columns are ignored."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    return map_arrow(rows, _statistics, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE) + carried(docs, carry))
+    """Return doc_id, the counts in COUNTS and MORE and the columns in ``carry`` (of which
+    the text can be one) for every row. Null text has no words; other columns are ignored."""
+    with_text, others = text_col in carry, tuple(c for c in carry if c != text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *others)
+    schema = "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS + MORE) + (", text string" if with_text else "") + carried(docs, others)
+    found = map_arrow(rows, _statistics(with_text), schema)
+    return found.withColumnRenamed("text", text_col) if with_text else found
 
 
 def feature(name: str) -> Column:
