@@ -62,9 +62,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go: rows are judged as
     they are read."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    whole = docs.select("doc_id", "text", F.col("text").alias("body"), "lang", "source", "n_chars")
-    judged = quality.apply_rules(quality.statistics(whole, carry=("body", "lang", "source", "n_chars")), quality.fit(docs, labels, base_too=False))
-    return judged.where("kept").withColumnRenamed("body", "text").select(*COLUMNS)
+    judged = quality.apply_rules(quality.statistics(docs, carry=tuple(COLUMNS[1:])), quality.fit(docs, labels, base_too=False))
+    return judged.where("kept").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
