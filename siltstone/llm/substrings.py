@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import discard, map_arrow, materialise
@@ -363,7 +363,10 @@ def repeated_ranges(rows: DataFrame, *, length: int = LENGTH, kgram: int = KGRAM
     found = materialise(scan(_stretches(bitmap, length, kgram, bits, False), "h long, g long, d long, s long, start long, end long"), "repeats-found")
     classes = found.where("h is not null")
     place = F.struct("d", "s", "start")
-    later = classes.withColumn("first", F.min(place).over(Window.partitionBy("h", "g"))).where(place != F.col("first"))
+    # Tasks find the first of their own before a stretch's rows meet; then one row of each
+    # class meets the others.
+    firsts = classes.groupBy("h", "g").agg(F.min(place).alias("first"))
+    later = classes.join(firsts, ["h", "g"]).where(place != F.col("first"))
     # 3. k-grams with different stretches: these are compared in shards.
     several = classes.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("h")
     mixed = sc.broadcast(_bitmap(several, bits))
