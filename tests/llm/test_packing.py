@@ -28,3 +28,21 @@ def test_round_trip(spark):
             at += r.length
         assert at <= 4096
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer=path).count() == 0
+
+
+def test_nulls_long_words_clashing_names_and_padding(spark):
+    path, schema = public_tokenizers.path("word_bpe_49k.json"), "doc_id long, text string, class string, part int, at int, ids string"
+    rows = [(None, "a null id"), (None, "a null id"), (None, None), (7, "x" * 5000), (8, "é" * 70 + " " + "漢" * 100), (9, " \n\t ")] + [(100 + i, "word and more " * (i * 13 % 200)) for i in range(300)]
+    docs = spark.createDataFrame([(d, t, "c", 1, 2, "") for d, t in rows], schema)
+    tokens = Tokenizer.from_file(path)
+    want = [len(tokens.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    for parts in (1, 5):
+        got = packing.pack(docs.repartition(parts), tokenizer=path).collect()
+        assert sum(r.length for r in got) == sum(want) and sorted(r.doc_tokens for r in got if r.start == 0) == sorted(want)
+        assert sum(r.doc_id is None for r in got if r.start == 0) == 3
+        filled = {}
+        for r in got:
+            filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
+        assert sorted(filled) == list(range(len(filled))) and max(filled.values()) <= 4096
+        # Full sequences, but for the room that classes leave and the last one of each.
+        assert len(filled) * 4096 <= sum(want) * 1.1 + 4096 * (packing.CLASSES + 1)

@@ -32,3 +32,17 @@ def test_many_matches_in_one_text(spark):
     found = pii.find_pii(spark.createDataFrame([(1, text)], SCHEMA), MODEL)
     got = found.select(F.size("base").alias("b"), F.size("spans").alias("s")).first()
     assert (got.b, got.s) == (10_000, 20_000)
+
+
+def test_repeated_rows_and_a_list_without_an_edge(spark):
+    numbers = " ".join(f"555123{i:04d}" for i in range(400))
+    rows = [(1, numbers), (1, numbers), (None, numbers), (2, "call 555-123-4567"), (2, "call 555-123-4567")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+
+    def spans(segment):
+        found = pii.find_pii(docs, MODEL, segment=segment).select("doc_id", pii.listed(F.col("spans")).alias("s"))
+        return sorted((r.doc_id or 0, r.s) for r in found.collect())
+
+    got = spans(64)
+    # The model takes the longest: the whole list, whatever the segments.
+    assert got == spans(10**6) == [(0, f"phone:0:{len(numbers)}")] + [(1, f"phone:0:{len(numbers)}")] * 2 + [(2, "phone:5:17")] * 2

@@ -41,3 +41,11 @@ def test_rows_that_the_base_rules_reject_teach_nothing(spark):
     assert [c[0] for r in own for c in r.conditions] == ["symbols_per_word"] and len(both) >= 2
     judged = quality.apply_rules(quality.statistics(docs), own).where("not base_failed and doc_id > 0")
     assert judged.where("kept = (doc_id % 4 = 0)").count() == 0
+
+
+def test_long_texts(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(40_000)) + "\n" + "# " * 3000 + "\n\n" + "same line\n" * 500
+    docs = spark.createDataFrame([(1, text, 0), (2, "x" * 300_000, 0), (3, "\n" * 100_000, 0)], SCHEMA)
+    got = {x.doc_id: x for x in quality.statistics(docs, carry=("text",)).collect()}
+    assert (got[1].n_words, got[1].n_symbols, got[1].n_dup_lines) == (44_000, 3000, 499) and got[1].text == text
+    assert got[1].n_repeat_words == 44_000 and got[2].n_words == 1 and got[2].word_chars == 300_000 and got[3].n_words == 0
