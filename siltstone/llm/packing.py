@@ -11,6 +11,9 @@ where a sequence ends.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,26 +25,86 @@ from siltstone.llm.shared import map_arrow, materialise
 
 #: Classes 1 to CLASSES. Shorter pieces, at most capacity / CLASSES ids, flow.
 CLASSES = 32
-#: Words that a worker's cache of encoded words holds before it starts afresh.
-CACHED_WORDS = 500_000
+#: Encoded words, and parts of words, that a worker holds before it starts afresh.
+CACHED_WORDS, CACHED_PARTS = 250_000, 500_000
+#: The rules of a tokenizer whose words can be encoded one by one: white space only ends
+#: a word, and nothing is joined across it.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+#: Words of Latin letters, ASCII digits and signs. NFC leaves them as they are, a lower-case
+#: letter is one letter, and ``PART`` cuts them as the rules above do.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u017f]+")
+
+_ENCODERS: dict[str, "_Encoder"] = {}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Parts(dict):
+    """Part of a plain word -> its ids, from the tokenizer's model alone: most words that
+    were not seen before are made of parts that were."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        from tokenizers import pre_tokenizers
+
+        self.model = tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x180)) if PLAIN.fullmatch(c)}
 
-_ENCODERS: dict[str, "_Words"] = {}
+    def __missing__(self, part: str) -> bytes:
+        found = _packed([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.as_bytes))])
+        if len(self) >= CACHED_PARTS:
+            self.clear()
+        if len(part) <= 64:
+            self[part] = found
+        return found
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers. The tokenizer's
-    splitter drops white space and never joins across it, so a text's ids are those of
-    its words in order."""
+class _Encoder(dict):
+    """Word -> its ids as little-endian unsigned 32-bit integers, and texts to ids: word
+    by word if the tokenizer's rules are those of ``BY_WORD``, else each text as a whole."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        tokens = rules["added_tokens"]
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in tokens) or "(?!)")
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].isalpha()) and len(t["content"].split()) == 1 for t in tokens)
+        self.by_word = plain and rules["model"]["type"] == "BPE" and all(rules[k] == v for k, v in BY_WORD.items())
+        self.parts = _Parts(self.tokenizer) if self.by_word else {}
+
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split())) if self.by_word else self.whole(text.decode("utf-8", "replace"))
+
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        found = b"".join(i.to_bytes(4, "little") for i in ids)
+        text = word.decode("utf-8", "replace")
+        if text.isascii() and text.isalpha():
+            found = self.parts[text.lower()]
+        elif PLAIN.fullmatch(text) and not self.added.search(text):
+            found = b"".join(map(self.parts.__getitem__, PART.findall(text.lower())))
+        else:
+            found = self.whole(text)
         if len(self) >= CACHED_WORDS:
             self.clear()
         if len(word) <= 64:
@@ -49,9 +112,9 @@ class _Words(dict):
         return found
 
 
-def _encoder(path: str) -> _Words:
+def _encoder(path: str) -> _Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = _Words(path)
+        _ENCODERS[path] = _Encoder(path)
     return _ENCODERS[path]
 
 
@@ -76,13 +139,13 @@ def _pieces(path: str, capacity: int, classes: int, end_id: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words, at = _encoder(path), [0] * (classes + 1)
+        encoder, at = _encoder(path), [0] * (classes + 1)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "at", "ids"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(words.__getitem__, (text or b"").split())) + end
+                ids = encoder.ids(text or b"") + end
                 n, start = len(ids) // 4, 0
                 for k, length in cuts(n, capacity, classes):
                     held = ids[4 * start : 4 * (start + length)]
@@ -100,6 +163,7 @@ def pack(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: s
     offset.
 
     * null and empty text give the end id alone; a text of any length is used whole
+    * ids are those of the whole text, whatever the rules of the tokenizer
     * repeated rows and repeated or null ids are packed as so many documents
     * sequence ids run from 0 without gaps; pieces fill each sequence from offset 0
     * an empty table gives an empty result; other columns are ignored

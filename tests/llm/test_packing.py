@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import public_tokenizers
@@ -46,3 +47,61 @@ def test_nulls_long_words_clashing_names_and_padding(spark):
         assert sorted(filled) == list(range(len(filled))) and max(filled.values()) <= 4096
         # Full sequences, but for the room that classes leave and the last one of each.
         assert len(filled) * 4096 <= sum(want) * 1.1 + 4096 * (packing.CLASSES + 1)
+
+
+def _own(tokens: Tokenizer, text: str) -> bytes:
+    return b"".join(i.to_bytes(4, "little") for i in tokens.encode(text, add_special_tokens=False).ids)
+
+
+def test_encoder_gives_the_ids_of_the_whole_text():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens, encoder = Tokenizer.from_file(path), packing._Encoder(path)
+    assert encoder.by_word
+    letters = [chr(i) for i in [*range(1, 0x250), 0x301, 0x308, 0x345, 0x3A3, 0x1E9E, 0x2028, 0x212A, 0x3000, 0xAC00, 0xFB01, 0xE000, 0x1F600]]
+    texts = [f"{c} {c}{c} a{c}b {c}'S'start{c}9{c}! I{c} '{c}ll" for c in letters]
+    signs = random.Random(7)
+    common = "abtheTHE'sSld0189,.!?&#%'-_|<>~éÉßüñÿŸŒœſĸŉ İ́\x1c\x85\xa0"
+    texts += ["".join(signs.choices(common, k=signs.randrange(1, 60))) for _ in range(4000)]
+    texts += ["x<|endoftext|>Y <|startoftext|> <|ENDOFTEXT|> <|end oftext|>", "a\0b \x7f", "", "Größenordnung" * 400, "&&'s 'S ''re 'VE'm"]
+    for text in texts:
+        assert encoder.ids(text.encode()) == _own(tokens, text), text
+
+
+def test_plain_words_of_known_parts_do_without_the_tokenizer(monkeypatch):
+    encoder = packing._Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+    monkeypatch.setattr(encoder.parts, "model", _Asked(encoder.parts.model, asked))
+    monkeypatch.setattr(encoder, "whole", lambda text: asked.append(text))
+    encoder.ids("Straße , . ### word".encode())
+    assert sorted(asked) == sorted(["straÃŁe", ",", ".", "###", "word"])
+    encoder.ids("straße, Straße. WORD### word,straße ###Word".encode())
+    assert len(asked) == 5
+
+
+class _Asked:
+    def __init__(self, model, asked: list[str]) -> None:
+        self.model, self.asked = model, asked
+
+    def tokenize(self, part: str):
+        self.asked.append(part)
+        return self.model.tokenize(part)
+
+
+def test_caches_that_are_full_start_afresh(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    monkeypatch.setattr(packing, "CACHED_PARTS", 2)
+    tokens, encoder = Tokenizer.from_file(path), packing._Encoder(path)
+    text = "one two, three. Four five6 " * 3 + "y" * 500
+    assert encoder.ids(text.encode()) == _own(tokens, text) and len(encoder) <= 3 and len(encoder.parts) <= 2
+
+
+def test_tokenizers_that_join_across_white_space(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens, texts = Tokenizer.from_file(path), {1: "Two words,\n\n  and more", 2: "", 3: "a  b"}
+    assert not packing._Encoder(path).by_word
+    got = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer=path, capacity=1, classes=1).collect()
+    for doc, text in texts.items():
+        mine = sorted((r.start, r.ids_crc32, r.doc_tokens) for r in got if r.doc_id == doc)
+        own = tokens.encode(text, add_special_tokens=False).ids + [2]
+        assert mine == [(k, zlib.crc32(i.to_bytes(4, "little")), len(own)) for k, i in enumerate(own)]
